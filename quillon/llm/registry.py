@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op1_chat
 from .decontaminate import op3_decontamination
+from .secrets import op5_secrets
 from .sharding import op7_sharding
+from .tokens import op8_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": op1_chat,
         "op3_decontamination": op3_decontamination,
+        "op5_secrets": op5_secrets,
         "op7_sharding": op7_sharding,
+        "op8_bpe": op8_bpe,
     }
 
 
