@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op1_chat
 from .decontaminate import op3_decontamination
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .secrets import op5_secrets
 from .sharding import op7_sharding
 from .tokens import op8_bpe
@@ -20,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": op5_secrets,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
