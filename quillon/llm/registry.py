@@ -12,6 +12,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .secrets import op5_secrets
 from .sharding import op7_sharding
 from .tokens import op8_bpe
+from .toxicity import op4_toxicity
 from .webp import op6_webp
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_webp": op6_webp,
         "op7_sharding": op7_sharding,
