@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op1_chat
 from .decontaminate import op3_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .quality import op9_quality
 from .secrets import op5_secrets
 from .sharding import op7_sharding
 from .tokens import op8_bpe
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_webp": op6_webp,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
         "op10_line_dedup": op10_line_dedup,
     }
 
