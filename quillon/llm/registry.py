@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op1_chat
 from .decontaminate import op3_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op9_quality
 from .secrets import op5_secrets
 from .sharding import op7_sharding
@@ -20,6 +21,7 @@ from .webp import op6_webp
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
+        "op2_ngram_join": op2_ngram_join,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op10_line_dedup": OP10_SQL}
