@@ -40,12 +40,40 @@ def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str | T.StructTy
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 piece = batch.slice(start, SLICE_ROWS)
-                out = fn(own, {name: piece.column(i).to_pylist() for i, name in enumerate(piece.schema.names)})
+                out = fn(own, {name: _lists(piece.column(i)) for i, name in enumerate(piece.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 
 
+def column_function(fn: Callable[..., list], kind: str, state: Callable[[], object]) -> Callable[..., object]:
+    """A function of columns for use in ``select``: ``fn(state, *lists)`` gives a list of the results.
+
+    It counts as nondeterministic, so that a filter on its result doesn't make it run twice.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(f"x {kind}"))[0].type
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        own = state()
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            parts = []
+            for start in range(0, len(columns[0]), SLICE_ROWS):
+                parts.append(pa.array(fn(own, *(_lists(c.slice(start, SLICE_ROWS)) for c in columns)), type=arrow))
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
+
+    return run.asNondeterministic()
+
+
+def _lists(column: pa.Array) -> list:
+    """``to_pylist``, faster for lists of numbers without nulls."""
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.null_count and not column.values.null_count:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        return [values[a:b].tolist() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return column.to_pylist()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

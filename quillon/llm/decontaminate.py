@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, map_columns, read
+from ._common import column_function, read
 
 WINDOW = 10
 #: UTF-8 bytes of the test items in one automaton: the bound on what is gathered
@@ -22,7 +21,7 @@ BLOCK_BYTES = 64_000_000
 #: A-Z to lower case; other ASCII than letters and digits to a space; bytes from 128 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-MATCHES = "id bigint, text string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+LEAKS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -158,8 +157,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*keep, raw[at:]]).decode()
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Where texts repeat windows of test items: MATCHES' columns, a row for each row.
+def leak_columns(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> Column:
+    """A column for ``docs``: where texts repeat windows of test items, as LEAKS says.
 
     ``spans``: merged word spans, end exclusive; ``items``: ids as strings,
     sorted.  Null and empty texts have no words and match nothing; items without
@@ -171,11 +170,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    out = keyed(docs, id_col, text_col)
+    out = None
     for b in range(blocks):
         own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()])
-        out = map_columns(out, _matching, MATCHES, lambda sent=sent: _automaton(sent, window))
+        match = column_function(_matching, LEAKS, lambda sent=sent: _automaton(sent, window))
+        out = match(text_col) if out is None else match(text_col, out)
     return out
 
 
@@ -183,56 +183,55 @@ def _automaton(sent: Broadcast, window: int) -> SuffixAutomaton:
     return SuffixAutomaton(sent.value, window)
 
 
-def _matching(automaton: SuffixAutomaton, x: dict) -> dict:
-    out: dict = {"id": x["id"], "text": x["text"], "n_words": [], "spans": [], "items": []}
-    for i, text in enumerate(x["text"]):
+def _matching(automaton: SuffixAutomaton, texts: list, before: list | None = None) -> list[dict]:
+    """Matches of each text, together with those of the blocks before."""
+    out = []
+    for i, text in enumerate(texts):
         words = words_of(text)
         spans, found = automaton.match(words)
         found = {f for f in found if f is not None}
-        if "spans" in x:  # of the blocks before
-            spans = merged([*spans, *((s["start"], s["end"]) for s in x["spans"][i])])
-            found |= set(x["items"][i])
-        out["n_words"].append(len(words))
-        out["spans"].append([{"start": s, "end": e} for s, e in spans])
-        out["items"].append(sorted(found))
+        if before:
+            spans = merged([*spans, *((s["start"], s["end"]) for s in before[i]["spans"])])
+            found |= set(before[i]["items"])
+        out.append({"n_words": len(words), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(found)})
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, min_words: int = WINDOW, window: int = WINDOW) -> DataFrame:
-    """``id, text, coverage, dropped``: texts without the spans that test items share.
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_words: int = WINDOW, window: int = WINDOW, coverage_col: str = "coverage") -> DataFrame:
+    """``docs`` without the spans that test items share, and ``coverage_col``, the share of words cut.
 
-    Spans of at least ``min_words`` words, or whole short items, are cut out of
-    the text; a document is marked ``dropped`` where spans cover more than
-    ``max_coverage`` of its words.  Other texts come back as they were.  Nulls,
-    repeats and empty tables as in ``find_leaks``.
+    Spans of at least ``min_words`` words, and whole items of less than a window,
+    are cut out of the text; a document goes where they are more than
+    ``max_coverage`` of its words.  Other rows come back as they were, with all
+    columns.  Nulls, repeats and empty tables as in ``leak_columns``.
     """
-
-    def cut(_: None, x: dict) -> dict:
-        out: dict = {"id": x["id"], "text": [], "coverage": [], "dropped": []}
-        for text, n, spans in zip(x["text"], x["n_words"], x["spans"], strict=True):
-            pairs = [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= min(min_words, window) or s["end"] - s["start"] < window]
-            share = sum(e - s for s, e in pairs) / n if n else 0.0
-            out["text"].append(without(text, pairs) if pairs else text)
-            out["coverage"].append(share)
-            out["dropped"].append(share > max_coverage)
+    if coverage_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {coverage_col}; give another coverage_col")
+
+    def cut(_: None, texts: list, leaks: list) -> list[dict]:
+        out = []
+        for text, leak in zip(texts, leaks, strict=True):
+            pairs = [(s["start"], s["end"]) for s in leak["spans"] if s["end"] - s["start"] >= min_words or s["end"] - s["start"] < window]
+            share = sum(e - s for s, e in pairs) / leak["n_words"] if pairs else 0.0
+            out.append({"text": without(text, pairs) if pairs else text, "coverage": share})
         return out
 
-    return map_columns(find_leaks(docs, items, id_col, text_col, window=window), cut, "id bigint, text string, coverage double, dropped boolean")
+    cleaned = column_function(cut, "struct<text:string,coverage:double>", lambda: None)(text_col, leak_columns(docs, items, text_col, window=window))
+    name = coverage_col
+    rows = docs.withColumn(name, cleaned).where(F.col(f"{name}.coverage") <= max_coverage)
+    return rows.withColumns({text_col: F.col(f"{name}.text"), name: F.col(f"{name}.coverage")})
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of test items hit."""
-
-    def digest(_: None, x: dict) -> dict:
-        hit = [sum(s["end"] - s["start"] for s in spans) for spans in x["spans"]]
-        return {
-            "doc_id": x["id"],
-            "n_words": x["n_words"],
-            "n_hit": hit,
-            "n_items": [len(i) for i in x["items"]],
-            "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in x["items"]],
-            "contaminated": [h > 0 for h in hit],
-        }
-
-    found = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return map_columns(found.drop("text"), digest, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", leak_columns(docs, read(spark, sf_dir, "benchmark")).alias("leak"))
+    hit = F.aggregate("leak.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("leak.n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("leak.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )

@@ -6,15 +6,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read
+from ._common import column_function, read
 from .toxicity import logistic
 
 #: Rows that may be gathered to fit: labelled ones of each class, and unlabelled ones; and UTF-8 bytes of each lot.
@@ -204,22 +203,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return co_train(labelled, y[order], tuple(both[2]), weight[order])
 
 
-def scorer(spark: SparkSession, model: Model | float) -> object:
+def _score_rows(model: Model | float, text: list, lang: list, source: list, length: list) -> list[dict[str, float]]:
+    if isinstance(model, float):
+        return [{"content": model, "metadata": model, "score": model}] * len(text)
+    content = np.array([content_features(t) for t in text])
+    meta = np.array([metadata_features(*m) for m in zip(lang, source, length, strict=True)])
+    return [dict(zip(("content", "metadata", "score"), map(float, row), strict=True)) for row in zip(*model.scores((content, meta)), strict=True)]
+
+
+def scorer(spark: SparkSession, model: Model | float) -> Callable[..., Column]:
     """A function of text, language, source and length columns: content, metadata and combined score."""
     sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("content double, metadata double, score double")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        for text, lang, source, length in batches:
-            if isinstance(own, float):
-                yield pd.DataFrame({"content": own, "metadata": own, "score": own}, index=text.index)
-                continue
-            content = np.array([content_features(t) for t in text]).reshape(len(text), -1)
-            meta = np.array([metadata_features(*m) for m in zip(lang, source, length, strict=True)]).reshape(len(text), -1)
-            yield pd.DataFrame(dict(zip(("content", "metadata", "score"), own.scores((content, meta)), strict=True)))
-
-    return scored
+    return column_function(_score_rows, "struct<content:double,metadata:double,score:double>", lambda: sent.value)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), out_col: str = "quality_scores", **fitting: object) -> DataFrame:
