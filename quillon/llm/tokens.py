@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -18,10 +21,16 @@ from ._common import keyed, map_columns, read
 #: The vocabulary file; a name of the public tokenizers or a path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Strings whose ids a worker remembers in the newer and in the older half of its memory.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Longer strings are never remembered.
 REMEMBERED_LENGTH = 40
 
+#: Marks the first part of a text; other parts have no space.
+FIRST = "^ "
+_LOOSE_SPACE = re.compile(r" (?:\s|$)|\s |^ ")
+#: Words of ASCII and Latin letters, as most parts are, with stops behind: one match of the pattern and one of the stops.
+_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*)")
+
 
 @lru_cache(maxsize=4)
 def ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
@@ -84,6 +93,34 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+class Memory:
+    """Ids (as bytes of int32) of strings that came before: a newer half that grows to REMEMBERED, and the half before it."""
+
+    def __init__(self) -> None:
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.missing: list[str] = []
+
+    def ready(self, lists: Iterable[list[str]]) -> Memory:
+        """Have in ``newer`` all the strings that are known; the others are ``missing``."""
+        self.missing = []
+        for key in set().union(*lists).difference(self.newer):
+            if (ids := self.older.get(key)) is not None:
+                self.newer[key] = ids
+            else:
+                self.missing.append(key)
+        return self
+
+    def settle(self) -> None:
+        """Forget long strings, and the older half once the newer one is full."""
+        for key in self.missing:
+            if len(key) > REMEMBERED_LENGTH:
+                del self.newer[key]
+        self.missing = []
+        if len(self.newer) >= REMEMBERED:
+            self.newer, self.older = {}, self.newer
+
+
 class Encoder:
     """Encodes texts; each pre-token by merging its pair of least rank, leftmost first.
 
@@ -104,11 +141,10 @@ class Encoder:
         }
         self.first = np.array([self.pairs.get((int(a) << 32) | int(b), -1) for a in self.single for b in self.single])
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.parts, self.pieces = Memory(), Memory()
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Token ids of each pre-token; none may be empty."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each pre-token as bytes of int32; none may be empty."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
         ends = np.cumsum([len(p) for p in pieces])
@@ -140,7 +176,7 @@ class Encoder:
                 j = after[i]
                 after[i] = k = after[j]
                 ids[i] = rank
-                waits[i] = waits[j] = -1
+                ids[j] = waits[i] = waits[j] = -1
                 if k < n:
                     before[k] = i
                     if (r := get(high | ids[k])) is not None:
@@ -158,76 +194,54 @@ class Encoder:
                             queue.open(r, [h])
                     else:
                         waits[h] = -1
-        out = []
-        for i in starts.tolist():
-            tokens = [ids[i]]
-            while (i := after[i]) < n:
-                tokens.append(ids[i])
-            out.append(tuple(tokens))
-        return out
-
-    def _recall(self, piece: str) -> tuple[int, ...] | None:
-        if (ids := self.memory.get(piece)) is None and (ids := self.older.get(piece)) is not None:
-            self._remember(piece, ids)
-        return ids
-
-    def _remember(self, piece: str, ids: tuple[int, ...]) -> None:
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self.memory) >= REMEMBERED:
-                self.memory, self.older = {}, self.memory
-            self.memory[piece] = ids
+        merged = np.array(ids, "<i4")
+        stays = merged >= 0
+        data = merged[stays].tobytes()
+        cuts = [0, *(4 * np.cumsum(np.add.reduceat(stays, starts, dtype=np.int64))).tolist()]
+        return [data[a:b] for a, b in pairwise(cuts)]
 
-    def _chunks(self, text: str) -> list[str]:
-        """Parts of a text, none of which a match of the pattern crosses.
+    def _parts(self, text: str) -> list[str]:
+        """Keys of parts of a text, none of which a match of the pattern crosses.
 
         A match holds a space only in front or among white space; so a text can
-        be cut before each space that has no white space beside it.  A text with
-        other spaces is one part.
+        be cut before each space that has no white space beside it.  Such a part
+        is known by what follows its space; the first by ``FIRST`` and itself.  A
+        text with other spaces is one part.
         """
+        if _LOOSE_SPACE.search(text):
+            return [FIRST + text]
         parts = text.split(" ")
-        for i, part in enumerate(parts):
-            if not part or part[0].isspace() or part[-1].isspace():
-                return [text]
-            if i:
-                parts[i] = " " + part
+        parts[0] = FIRST + parts[0]
         return parts
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _pieces(self, part: str) -> list[str]:
+        """The matches of the pattern in a part."""
+        if m := _WORD.fullmatch(part):
+            return [" " + m[1], m[2]] if m[2] else [" " + part]
+        return self.split(part[len(FIRST) :] if part.startswith(FIRST) else " " + part)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        memory, known, fresh = self.memory, {}, {}
-        cut = [self._chunks(t) if t else [] for t in texts]
-        for parts in cut:
-            for part in parts:
-                if part not in memory and part not in known and (ids := self._recall(part)) is None:
-                    known[part] = pieces = self.split(part)
-                    for piece in pieces:
-                        if piece not in fresh:
-                            fresh[piece] = self._recall(piece)
-                    memory = self.memory
+        cut = [self._parts(t) if t else [] for t in texts]
+        parts = self.parts.ready(cut)
+        pieces = {part: self._pieces(part) for part in parts.missing}
+        known = self.pieces.ready(pieces.values())
         new = []
-        for piece, ids in fresh.items():
-            if ids is None:
-                if (whole := self.ranks.get(raw := piece.encode())) is not None:
-                    fresh[piece] = (whole,)
-                else:
-                    new.append((piece, raw))
+        for piece in known.missing:
+            raw = piece.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                known.newer[piece] = whole.to_bytes(4, "little")
+            else:
+                new.append((piece, raw))
         if new:
-            for (piece, _), ids in zip(new, self.merge([raw for _, raw in new]), strict=True):
-                fresh[piece] = ids
-        whole_parts = {part: tuple([i for piece in pieces for i in fresh[piece]]) for part, pieces in known.items()}
-        out = []
-        for parts in cut:
-            ids: list[int] = []
-            extend = ids.extend
-            for part in parts:
-                if (got := whole_parts.get(part)) is None and (got := self.memory.get(part)) is None:
-                    got = self.older[part]
-                extend(got)
-            out.append(ids)
-        for part, ids in whole_parts.items():
-            self._remember(part, ids)
-        for piece, ids in fresh.items():
-            self._remember(piece, ids)
+            known.newer.update(zip([piece for piece, _ in new], self.merge([raw for _, raw in new]), strict=True))
+        get = known.newer.__getitem__
+        for part, own in pieces.items():
+            parts.newer[part] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        get = parts.newer.__getitem__
+        out = [np.frombuffer(b"".join(map(get, own)), "<i4") for own in cut]
+        self.pieces.settle()
+        self.parts.settle()
         return out
 
 
@@ -244,7 +258,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
 
     def run(own: Encoder, x: dict) -> dict:
-        return {"id": x["id"], "ids": [np.array(ids, np.int32) for ids in own.encode([t or "" for t in x["text"]])]}
+        return {"id": x["id"], "ids": own.encode([t or "" for t in x["text"]])}
 
     return map_columns(keyed(docs, id_col, text_col), run, "id bigint, ids array<int>", lambda: encoder(vocabulary))
 
@@ -261,12 +275,17 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes decoded from them."""
 
-    def digest(table: list[bytes], x: dict) -> dict:
+    def tables() -> tuple[list[str], list[bytes]]:
+        table = token_bytes()
+        return [str(i) for i in range(len(table))], table
+
+    def digest(own: tuple[list[str], list[bytes]], x: dict) -> dict:
+        names, table = own
         out: dict = {"doc_id": x["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for ids in x["ids"]:
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest())
         return out
 
-    return map_columns(encode(read(spark, sf_dir, "documents")), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", token_bytes)
+    return map_columns(encode(read(spark, sf_dir, "documents")), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", tables)
