@@ -127,9 +127,10 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple
     Each round fits both views; of the pool's rows each view picks the ones that
     it is surest of, ``given`` of either class at most and ``sure`` at least, and
     they join the other view's rows with those labels.  A third of the labelled
-    rows (every third) only calibrates and combines the views.
+    rows (every third of each class) only calibrates and combines the views.
     """
-    held = np.arange(len(y)) % 3 == 2
+    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) - 1
+    held = place % 3 == 2
     learn = ~held
     x = [v[learn] for v in labelled]
     labels = [y[learn], y[learn]]

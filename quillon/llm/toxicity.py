@@ -76,6 +76,10 @@ class Model:
     weights: list[float] = field(default_factory=list)
     means: list[float] = field(default_factory=list)
     scales: list[float] = field(default_factory=list)
+    #: The least and greatest value of each feature in calibration: none counts beyond them.
+    bounds: list[tuple[float, float]] = field(default_factory=list)
+    #: The share of toxic rows: the most that a text without any gain scores.
+    prior: float = 1.0
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         def one(content: bytes) -> zstandard.ZstdCompressor:
@@ -97,8 +101,11 @@ class Model:
         return [top[0], top[1], top[2], math.log1p(strong), math.log1p(strong) / math.log(len(gains) + 2), math.log(len(gains) + 1)]
 
     def score(self, features: list[float]) -> float:
-        z = self.weights[0] + sum(w * (f - m) / s for w, f, m, s in zip(self.weights[1:], features, self.means, self.scales, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        z = self.weights[0]
+        for weight, feature, mean, scale, (low, high) in zip(self.weights[1:], features, self.means, self.scales, self.bounds, strict=True):
+            z += weight * (min(max(feature, low), high) - mean) / scale
+        out = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return out if features[0] > 0 else min(out, self.prior)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -142,7 +149,7 @@ def train(rows: list[tuple[str | None, int]], ratio: float = 1.0, settings: Sett
     ordinary = [t for t, y in shuffled if not y]
     if min(len(toxic), len(ordinary)) < 4:
         share = len(toxic) / len(rows) if rows else 0.0
-        return Model(b" ", b" ", s, [math.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * 6, [0.0] * 6, [1.0] * 6)
+        return Model(b" ", b" ", s, [math.log(max(share, 1e-9) / max(1 - share, 1e-9))] + [0.0] * 6, [0.0] * 6, [1.0] * 6, [(0.0, 0.0)] * 6)
     cut = {True: 2 * len(toxic) // 3, False: 2 * len(ordinary) // 3}
     learn_toxic, learn_ordinary = toxic[: cut[True]], ordinary[: cut[False]]
 
@@ -170,6 +177,8 @@ def train(rows: list[tuple[str | None, int]], ratio: float = 1.0, settings: Sett
     y = np.array([v for _, v in held], float)
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.means, model.scales = means.tolist(), scales.tolist()
+    model.bounds = list(zip(x.min(axis=0).tolist(), x.max(axis=0).tolist(), strict=True))
+    model.prior = 1 / (1 + ratio)
     weight = np.where(y == 1, 1.0, ratio * y.sum() / (1 - y).sum())
     model.weights = logistic((x - means) / scales, y, weight, ridge=1e-4).tolist()
     return model
