@@ -41,11 +41,11 @@ def combine(pvalues: DataFrame, by: list[str], p: str = "pvalue", weight: str |
 
 
 def adjust(rows: DataFrame, p: str, by: list[str], tie: str, out: str) -> DataFrame:
-    """Benjamini-Hochberg: the running least of p * n / rank from the largest p down, within ``by``."""
+    """Benjamini-Hochberg: the running least of p * (n / rank) from the largest p down, within ``by``."""
     own = Window.partitionBy(*by)
     ranked = rows.withColumn("_rank", F.row_number().over(own.orderBy(F.asc(p), F.asc(tie)))).withColumn("_n", F.count("*").over(own))
     down = own.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down))).drop("_rank", "_n")
+    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * (F.col("_n") / F.col("_rank"))).over(down))).drop("_rank", "_n")
 
 
 def pair_fits(data: Dataset, maxit: int = 50, maxstep: float = 5.0, maxhs: int = 10, damp: bool = True, tolerance: float = 1e-5) -> DataFrame:

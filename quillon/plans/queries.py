@@ -291,7 +291,7 @@ MODEL = f"""raw AS (
   SELECT cluster, gene, avg(beta) AS avg_beta, avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END) AS up_share, 0.5 - atan(avg(tan((0.5 - {CLAMP}) * pi()))) / pi() AS c FROM fits GROUP BY 1, 2
 ), comb AS (SELECT * EXCLUDE c, CASE WHEN c <= 0 THEN 5.55e-17 ELSE c END AS combined_pv FROM raw),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY combined_pv, gene) AS k, count(*) OVER (PARTITION BY cluster) AS n FROM comb),
-adj AS (SELECT cluster, gene, avg_beta, up_share, combined_pv, least(1.0, min(combined_pv * n / k) OVER (PARTITION BY cluster ORDER BY k DESC)) AS p_adjust FROM ranked),
+adj AS (SELECT cluster, gene, avg_beta, up_share, combined_pv, least(1.0, min(combined_pv * (CAST(n AS DOUBLE) / k)) OVER (PARTITION BY cluster ORDER BY k DESC)) AS p_adjust FROM ranked),
 model AS (SELECT *, CASE WHEN up_share >= 0.5 AND p_adjust <= 0.05 THEN 'upregulated' ELSE 'not upregulated' END AS change FROM adj)"""
 SCORES = f"""{PCT}, share AS (SELECT cluster, gene, CASE WHEN pct = 0 THEN 1e-10 ELSE pct END AS pct FROM pct), scored AS (
   SELECT f.cluster, f.gene, avg(tan((0.5 - {CLAMP}) * pi()) * h.pct / t.pct) / count(*) AS score
