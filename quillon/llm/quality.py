@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labelled rows: ``sample_rows`` of each class; unlabelled rows for co-training:
     ``pool_rows``; ``sample_bytes`` of text in each of the three lots.  Where a
-    class has fewer than six rows the share of good labels is returned instead.
+    class has fewer than six rows, or ``docs`` has fewer of them, the share of good
+    labels is returned instead.
     """
     lang, source, length = meta_cols
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(length).cast("double").alias("length")).where("id is not null")
@@ -193,6 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lots[y].append((zlib.crc32(str(doc).encode()), doc, content_features(text), metadata_features(*meta)))
     for lot in lots.values():
         lot.sort()
+    if min(len(lots[0]), len(lots[1])) < 6:
+        return counts[1] / sum(counts.values())
     width = (len(content_features(None)), len(metadata_features(None, None, None)))
     both = [[np.array([r[2 + v] for r in lots[y]]).reshape(-1, width[v]) for v in (0, 1)] for y in (0, 1, 2)]
     y = np.concatenate([np.zeros(len(lots[0])), np.ones(len(lots[1]))])
