@@ -136,7 +136,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
 
     def digest(table: list[bytes], x: dict) -> dict:
-        names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens")
+        names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         out: dict = {"conv_id": x["conv_id"]} | {n: [] for n in names}
         for formatted, ids, loss in zip(x["formatted"], x["ids"], x["loss"], strict=True):
             back = parse(formatted)
@@ -147,11 +147,25 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                 len(under),
                 hashlib.sha256(under.encode()).hexdigest(),
                 len(formatted),
-                len(ids),
             )
             for n, v in zip(names, row, strict=True):
                 out[n].append(v)
         return out
 
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
+    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return map_columns(format_chats(turns.unionByName(probe)), digest, schema, token_bytes)
+
+
+_CONTROL_SQL = "[<\\[]\\\\*(?:" + "|".join(re.sub(r"([|\[\]])", r"\\\1", c[1:]) for c in CONTROLS) + ")"
+OP1_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START)} + length(role) + 1 + length(text) + len(regexp_extract_all(text, '{_CONTROL_SQL}')) + {len(END)} + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

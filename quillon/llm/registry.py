@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import op1_chat
-from .decontaminate import op3_decontamination
+from .chat import OP1_SQL, op1_chat
+from .decontaminate import OP3_SQL, op3_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op9_quality
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op10_line_dedup": OP10_SQL}

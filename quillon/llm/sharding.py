@@ -23,6 +23,10 @@ def round_function(half: np.ndarray, key: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def round_keys(seed: int) -> list[int]:
+    return [(seed * 0x2545F4914F6CDD1D + (r + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for r in range(ROUNDS)]
+
+
 def permute(numbers: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Permutation of 0..n-1, keyed by ``seed``.
 
@@ -34,7 +38,7 @@ def permute(numbers: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         return np.zeros(len(numbers), np.int64)
     bits = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(bits)) - 1)
-    keys = [(seed * 0x2545F4914F6CDD1D + (r + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for r in range(ROUNDS)]
+    keys = round_keys(seed)
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> bits, x & mask
@@ -106,3 +110,31 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(sized, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _sql() -> str:
+    """The permutation again in SQL: one pass over the rounds for each step of the walk."""
+    wrap = f"CAST({2**64} AS UHUGEINT)"
+    source = "SELECT i, n, bits, k, v >> bits AS l, v & mask AS r, mask FROM walk WHERE k = 0 OR v >= n"
+    for key in round_keys(0):
+        x = f"CAST((CAST((CAST(r AS UHUGEINT) + {key}) % {wrap} AS UHUGEINT) * CAST({0x9E3779B97F4A7C15} AS UHUGEINT)) % {wrap} AS UBIGINT)"
+        source = f"SELECT i, n, bits, k, mask, r AS l, {x} AS x, l AS old FROM ({source})"
+        source = f"SELECT i, n, bits, k, mask, l, old, CAST((CAST(xor(x, x >> CAST(31 AS UBIGINT)) AS UHUGEINT) * CAST({0xD6E8FEB86659FD93} AS UHUGEINT)) % {wrap} AS UBIGINT) AS x FROM ({source})"
+        source = f"SELECT i, n, bits, k, mask, l, xor(old, xor(x, x >> CAST(29 AS UBIGINT)) & mask) AS r FROM ({source})"
+    return f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, text, (SELECT count(*) FROM documents) AS n FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS UBIGINT) AS bits FROM sized
+), walk AS (
+  SELECT i, CAST(n AS UBIGINT) AS n, bits, 0 AS k, CAST(i AS UBIGINT) AS v, (CAST(1 AS UBIGINT) << bits) - CAST(1 AS UBIGINT) AS mask FROM numbered
+  UNION ALL
+  SELECT i, n, bits, k + 1, (l << bits) | r, mask FROM ({source})
+), done AS (SELECT i, v FROM walk WHERE k > 0 AND v < n)
+SELECT doc_id, size, 'rows' AS law, CAST(v % {SHARDS} AS INT) AS shard, CAST(v // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN done USING (i)
+"""
+
+
+#: Without ``text_crc32``, which DuckDB has no function for.
+PLACES_SQL = _sql()

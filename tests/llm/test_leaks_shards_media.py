@@ -290,3 +290,14 @@ def test_crc_of_sharded_texts(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(F.crc32(F.lit("é").cast("binary"))).first()[0] == zlib.crc32("é".encode())
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 65, 300])
+def test_places_equal_sql(spark, n):
+    import duckdb
+
+    docs = spark.createDataFrame([(i * 3, "x" * i) for i in range(n)], "doc_id bigint, text string")
+    ours = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, ["doc_id"]).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT i * 3 AS doc_id, repeat('x', i::INT) AS text FROM range({n}) t(i)")
+    assert {r[0]: (r[3], r[4]) for r in con.execute(sharding.PLACES_SQL).fetchall()} == ours
