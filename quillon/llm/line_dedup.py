@@ -121,7 +121,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"there is a column {runs_col}; give another runs_col")
     runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc").alias(runs_doc), F.col("version").alias(runs_version), F.col("runs").alias(runs_col))
     left = docs.withColumns(dict(zip((doc, version), _owner(id_col, text_col), strict=True)))
-    joined = left.join(runs, (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
+    # Always by sorting: texts are moved at every size, whether or not the runs are few.
+    joined = left.join(runs.hint("merge"), (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.exists(F.col(runs_col), lambda r: i.between(r["lo"], r["hi"])))
     return joined.withColumn(text_col, F.when(F.col(runs_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, runs_col)
 
