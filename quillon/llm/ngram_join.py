@@ -23,6 +23,8 @@ MATCHES = 8
 VERIFY = 10
 #: Tokens in more sets than this go the way of long lists: pivots first, then what pivots left apart.
 LONG_LIST = 64
+#: Sets on each side of a block in which sets of long lists are compared.
+BLOCK = 512
 #: Distinct sets that a task remembers so as not to send copies.
 SEEN = 500_000
 
@@ -255,25 +257,71 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ask = F.least("a.matches", "b.matches") - F.least("a.long", "b.long")
     few = met.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("n"), F.max(ask).alias("ask")).where("n >= ask").select("x", "y")
     long = written(keys.where(F.col("frequency") > LONG_LIST).select("token", "s"), "long")
-    central = long.groupBy("token").agg(F.min_by(F.col("s"), F.struct(F.col("s.uniques") / F.col("s.size"), -F.col("s.size"), F.col("s.node"))).alias("p"), F.min("s.size").alias("least"))
+    central = long.groupBy("token").agg(F.min_by(F.col("s"), F.struct(F.col("s.uniques") / F.col("s.size"), -F.col("s.size"), F.col("s.node"))).alias("p"))
     stars = long.join(central, "token").where((F.col("s.node") != F.col("p.node")) & _alike("s", "p", percent)).select(F.least("s.node", "p.node").alias("x"), F.greatest("s.node", "p.node").alias("y"))
     links = written(_verified(few.unionByName(stars).distinct(), sets, percent), "found")
     if not long.isEmpty():
-        reached = components(links)
-        where = F.coalesce("component", "s.node")
-        placed = written(long.join(reached, F.col("s.node") == F.col("node"), "left").select("token", "s", where.alias("c")), "placed")
-        sizes = placed.groupBy("token", "c").count()
-        main = sizes.groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        # A set outside its list's largest component can reach sets down to what its own shared tokens allow.
-        reach = F.floor((F.col("s.size") - F.col("s.uniques")) * (100 + percent) / percent + 1e-9) - F.col("s.size")
-        outside = placed.join(main, "token").where("c <> main").join(central.select("token", "least"), "token").where(reach >= F.col("least")).select("token", F.col("s").alias("a"), F.col("c").alias("ca"))
-        rest = outside.join(placed.select("token", F.col("s").alias("b"), F.col("c").alias("cb")), "token").where((F.col("ca") != F.col("cb")) & _alike("a", "b", percent))
-        pairs = rest.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-        more = written(_verified(pairs, sets, percent), "found")
-        links = links.unionByName(more)
+        links = links.unionByName(written(_rest(long, central, sets, components(links), percent), "found"))
     return links
 
 
+def _rest(long: DataFrame, central: DataFrame, sets: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+    """``x, y``: links between sets that share long lists' tokens and that no path joins yet.
+
+    The sets of all lists of one central set are a group; those outside the
+    group's largest component, unless their unshared tokens rule out even its
+    smallest set, meet all the group's sets.  They meet in blocks of BLOCK by
+    BLOCK sets, of which only links that join something come out.
+    """
+    group = long.join(central.select("token", F.col("p.node").alias("pivot")), "token").groupBy("pivot", "s.node").agg(F.first("s.size").alias("size"), F.first("s.uniques").alias("uniques"))
+    group = written(group.join(reached, "node", "left").select("pivot", "node", "size", "uniques", F.coalesce("component", "node").alias("c")), "groups")
+    sizes = group.groupBy("pivot", "c").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    whole = sizes.groupBy("pivot").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("members"), F.min("least").alias("least")).withColumn("across", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # A set reaches sets no smaller than what its shared tokens allow.
+    reach = F.floor((F.col("size") - F.col("uniques")) * (100 + percent) / percent + 1e-9) - F.col("size")
+    outside = group.join(whole, "pivot").where((F.col("c") != F.col("main")) & (reach >= F.col("least"))).select("pivot", "node")
+    down = outside.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("down"))
+    grid = whole.select("pivot", "across").join(down, "pivot")
+    rows = group.join(grid, "pivot").join(sets.select("node", "tokens"), "node")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(n), "node"), F.col(n)).cast("int")
+
+    every = rows.withColumn("side", F.lit(1)).withColumn("j", block("across")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+    some = rows.join(outside, ["pivot", "node"], "left_semi").withColumn("side", F.lit(0)).withColumn("i", block("down")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    names = ["pivot", "i", "j", "side", "node", "size", "uniques", "c", "tokens"]
+    return every.select(*names).unionByName(some.select(*names)).groupBy("pivot", "i", "j").applyInArrow(_blocks(percent), "x bigint, y bigint")
+
+
+def _blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def blocks(table: pa.Table) -> pa.Table:
+        rows = table.select(["side", "node", "size", "uniques", "c", "tokens"]).to_pylist()
+        for r in rows:
+            r["tokens"] = np.frombuffer(r["tokens"], "<i8")
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (d := up.get(c, c)) != c:
+                c = d
+            return c
+
+        others = sorted((r for r in rows if r["side"]), key=lambda r: (r["uniques"] / r["size"], r["node"]))
+        size, free = np.array([r["size"] for r in others]), np.array([r["size"] - r["uniques"] for r in others])
+        x, y = [], []
+        for a in (r for r in rows if not r["side"]):
+            n = a["size"]
+            need = -(-percent * (n + size) // (100 + percent))
+            for k in np.flatnonzero((need <= n - a["uniques"]) & (need <= free) & (size * 100 >= n * percent) & (n * 100 >= size * percent)).tolist():
+                b = others[k]
+                if root(a["c"]) != root(b["c"]) and len(np.intersect1d(a["tokens"], b["tokens"], assume_unique=True)) >= need[k]:
+                    up[root(a["c"])] = root(b["c"])
+                    x.append(min(a["node"], b["node"]))
+                    y.append(max(a["node"], b["node"]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return blocks
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id``: a row for each row of ``docs``.
 
