@@ -21,7 +21,7 @@ from ._common import keyed, map_columns, read
 #: The vocabulary file; a name of the public tokenizers or a path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Strings whose ids a worker remembers in the newer and in the older half of its memory.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Longer strings are never remembered.
 REMEMBERED_LENGTH = 40
 
