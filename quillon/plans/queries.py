@@ -186,6 +186,12 @@ def pct_by_cluster(spark: SparkSession, d: str) -> DataFrame:
     return N.pct(Q.genes_by_cells(A.documents(spark, d), 20)).select("cluster", "gene", r6("pct").alias("pct"))
 
 
+@query(f"WITH {M2}, {PCT} SELECT cluster, gene, round(pct, 6) + 0.0 AS pct FROM pct")
+def pct_by_cluster_all_genes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid; ``pct_by_cluster`` shows its genes in 20 cells or more."""
+    return N.pct(A.documents(spark, d)).select("cluster", "gene", r6("pct").alias("pct"))
+
+
 @query(f"WITH {M2} SELECT gene, round(count(*) FILTER (value > 0) / CAST((SELECT count(*) FROM cells) AS DOUBLE), 6) + 0.0 AS pct FROM expr GROUP BY gene")
 def pct_overall(spark: SparkSession, d: str) -> DataFrame:
     return N.pct(A.documents(spark, d), by_cluster=False).select("gene", r6("pct").alias("pct"))

@@ -35,6 +35,13 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_shares_cover_the_whole_grid(spark, duck):
+    ours = QUERIES["pct_by_cluster_all_genes"](spark, DATA).toPandas()
+    assert rows(ours) == rows(duck.execute(SQL["pct_by_cluster_all_genes"]).fetchdf())
+    genes, clusters = set(QUERIES["expr_documents"](spark, DATA).select("gene").distinct().toPandas()["gene"]), set(ours["cluster"])
+    assert len(ours) == len(genes) * len(clusters) and set(ours["gene"]) == genes
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cluster", "gene", "lfc", "rank"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
