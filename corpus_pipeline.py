@@ -22,7 +22,7 @@ from quillon.llm.tokens import encoder, token_bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: all where labels are too few to fit it."""
     scored = score_quality(docs, read(spark, sf_dir, "labels"), out_col="_quality")
     return scored.where(accepted("_quality")).drop("_quality")
 

@@ -168,20 +168,20 @@ def _constant(share: float) -> Model:
     return Model((view, view), (flat, flat), np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | float | None:
     """A model from bounded samples: the rows of least hash of the id.
 
     Labelled rows: ``sample_rows`` of each class; unlabelled rows for co-training:
     ``pool_rows``; ``sample_bytes`` of text in each of the three lots.  Where a
     class has fewer than six rows, or ``docs`` has fewer of them, the share of good
-    labels is returned instead.
+    labels is returned instead, None without any label.
     """
     lang, source, length = meta_cols
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(length).cast("double").alias("length")).where("id is not null")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col) > 0).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     if min(counts.get(0, 0), counts.get(1, 0)) < 6:
-        return counts.get(1, 0) / max(1, sum(counts.values()))
+        return counts.get(1, 0) / sum(counts.values()) if counts else None
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (0, 1)]
     # Ids alone decide which rows are gathered; their texts come after.
     pool = rows.select("id").join(known, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool_rows).distinct().withColumn("y", F.lit(2))
@@ -207,18 +207,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return co_train(labelled, y[order], tuple(both[2]), weight[order])
 
 
-def _score_rows(model: Model | float, text: list, lang: list, source: list, length: list) -> list[dict[str, float]]:
-    if isinstance(model, float):
-        return [{"content": model, "metadata": model, "score": model}] * len(text)
+def _score_rows(model: Model | float | None, text: list, lang: list, source: list, length: list) -> list[dict]:
+    if not isinstance(model, Model):
+        return [{"content": model, "metadata": model, "score": model, "fitted": False}] * len(text)
     content = np.array([content_features(t) for t in text])
     meta = np.array([metadata_features(*m) for m in zip(lang, source, length, strict=True)])
-    return [dict(zip(("content", "metadata", "score"), map(float, row), strict=True)) for row in zip(*model.scores((content, meta)), strict=True)]
+    return [dict(zip(("content", "metadata", "score"), map(float, row), strict=True), fitted=True) for row in zip(*model.scores((content, meta)), strict=True)]
 
 
-def scorer(spark: SparkSession, model: Model | float) -> Callable[..., Column]:
-    """A function of text, language, source and length columns: content, metadata and combined score."""
+def scorer(spark: SparkSession, model: Model | float | None) -> Callable[..., Column]:
+    """A function of text, language, source and length columns: content, metadata and combined score, and whether a model gave them."""
     sent = spark.sparkContext.broadcast(model)
-    return column_function(_score_rows, "struct<content:double,metadata:double,score:double>", lambda: sent.value)
+    return column_function(_score_rows, "struct<content:double,metadata:double,score:double,fitted:boolean>", lambda: sent.value)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), out_col: str = "quality_scores", **fitting: object) -> DataFrame:
@@ -226,8 +226,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", me
 
     Nulls count as empty text, unknown language or source, missing length; equal
     rows score equally; other columns are kept and never read.  Without six
-    labels of each class all scores are the share of good labels.  An empty table
-    gives an empty one.  Scoring is narrow.
+    labels of each class no model is fitted: all scores are the share of good
+    labels (null without any) and ``fitted`` is false.  An empty table gives an
+    empty one.  Scoring is narrow.
     """
     model = fit(docs, labels, text_col=text_col, meta_cols=meta_cols, **fitting)
     lang, source, length = (F.col(c) for c in meta_cols)
@@ -235,7 +236,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", me
 
 
 def accepted(scores: str = "quality_scores", below: float = REJECT_BELOW) -> Column:
-    return F.col(f"{scores}.score") >= below
+    """Not rejected: scored ``below`` or more, or any document where no model could be fitted, as nothing tells them apart."""
+    return ~F.col(f"{scores}.fitted") | (F.col(f"{scores}.score") >= below)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,14 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.score_quality(empty, many).count() == 0
 
 
+def test_quality_keeps_all_where_no_model_is_fitted(spark, odd):
+    for good, bad in ((0, 0), (0, 40), (40, 0), (2, 40), (5, 5)):
+        labels = spark.createDataFrame([(i, int(i < good)) for i in range(good + bad)], "doc_id bigint, quality int")
+        out = quality.score_quality(odd, labels).select("quality_scores.*", quality.accepted().alias("accepted")).collect()
+        assert len(out) == odd.count() and all(r["accepted"] and not r["fitted"] for r in out)
+        assert {r["score"] for r in out} == {good / (good + bad) if good + bad else None}
+
+
 def test_metadata_counts_nulls_as_missing():
     assert quality.metadata_features(None, None, None)[-1] == 1.0
     assert len(quality.content_features(None)) == len(quality.content_features("a b"))

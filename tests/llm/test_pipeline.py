@@ -64,3 +64,10 @@ def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_quality_stage_keeps_all_without_labels_of_both_classes(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, labels in (("none", []), ("bad", [(i, 0, 0) for i in range(120, 180)])):
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert pipeline.quality(spark, docs, f"{tmp_path}/{name}").exceptAll(docs).isEmpty() and pipeline.quality(spark, docs, f"{tmp_path}/{name}").count() == docs.count()
