@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ BASE = (
 KINDS = ("assign", "access", "hex", "random")
 
 #: Unbroken strings long enough to be judged by their tokens.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: What parts of a candidate are, from coarse to fine, where the whole isn't random.
+PARTS = (re.compile(r"[^=]+"), re.compile(r"[^=/]+"), re.compile(r"[^=/_-]+"))
 #: Below so many characters a token a candidate counts as random.
 RATIO = 2.0
 #: Lengths of hexadecimal digests: MD5 or UUID, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
@@ -74,15 +78,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def left_over(start: int, end: int, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave over of a stretch."""
+    for s, _, e, _ in spans:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def random_parts(text: str, start: int, end: int, encoding: tiktoken.Encoding, ratio: float = RATIO, parts: tuple[re.Pattern, ...] = PARTS) -> Iterator[tuple[int, int]]:
+    """Random strings of a stretch: all of it, else its parts between ``=``, else those between ``/``, else ``-`` and ``_``.
+
+    Words that are glued to a random string would else raise its characters a
+    token.  Parts of fewer than ``LEAST`` characters are not judged by themselves.
+    """
+    if end - start < LEAST:
+        return
+    if random_like(text[start:end], encoding, ratio):
+        yield start, end
+    elif parts:
+        for m in parts[0].finditer(text, start, end):
+            yield from random_parts(text, m.start(), m.end(), encoding, ratio, parts[1:])
+
+
 def scan(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, int, str]]:
-    """All spans of a text: the base ones, and random strings that no base span meets."""
+    """All spans of a text: the base ones, and random strings in what they leave over of candidates."""
     out = base_spans(text)
-    base, more = list(out), []
+    more = []
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            continue
-        if random_like(m[0], encoding, ratio):
-            more.append((m.start(), len(BASE), m.end(), "random"))
+        for start, end in left_over(m.start(), m.end(), out):
+            more += [(s, len(BASE), e, "random") for s, e in random_parts(text, start, end, encoding, ratio)]
     return sorted(out + more) if more else out
 
 

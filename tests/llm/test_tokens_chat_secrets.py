@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 
 import numpy as np
 import pytest
@@ -89,6 +90,26 @@ def test_random_strings_but_not_known_ones():
         assert "random" not in kinds(f"see {known} there")
 
 
+def test_random_strings_glued_to_words():
+    encoding, rng = tokens.reference_encoding(), random.Random(0)
+    for front in ("AccountKey=", "client_credentials_value=", "https-callback-signature=", "/home/deployment/configuration/", "deployment_configuration_"):
+        for _ in range(200):
+            key = "".join(rng.choices(string.ascii_letters + string.digits, k=20))
+            if not secrets.random_like(key, encoding):
+                continue
+            text = f"see {front}{key} end"
+            at = text.index(key)
+            assert any(s <= at and at + 20 <= e for s, _, e, _ in secrets.scan(text, encoding)), text
+    for known in ("/home/123e4567-e89b-12d3-a456-426614174000/configuration", "content=max_partition_bytes_default", "/usr/share/internationalization/2026-11-26_12345678"):
+        assert secrets.scan(f"see {known} there", encoding) == []
+
+
+def test_random_strings_beside_base_spans():
+    text = "see Xq7Lr9Zt2Vw8Kp4Nj6Hm/password=abcdefghijklm there"
+    found = [(k, text[s:e]) for s, _, e, k in secrets.scan(text, tokens.reference_encoding())]
+    assert found == [("random", "Xq7Lr9Zt2Vw8Kp4Nj6Hm/"), ("assign", "password=abcdefghijklm")]
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.find_secrets(odd).count() == odd.count()
     assert secrets.find_secrets(empty).count() == 0
