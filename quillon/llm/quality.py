@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from bounded samples: the rows of least hash of the id.
 
     Labelled rows: ``sample_rows`` of each class; unlabelled rows for co-training:
-    ``pool_rows``; ``sample_bytes`` of text in each of the three lots.  Where a
+    ``pool_rows``; ``sample_bytes`` of text in each of the three lots, of which a
+    text that no longer fits is skipped.  Where a
     class has fewer than six rows, or ``docs`` has fewer of them, the share of good
     labels is returned instead, None without any label.
     """
@@ -188,9 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = rows.join(F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(pool)), "id").select("id", "y", "text", "lang", "source", "length")
     lots: dict[int, list] = {0: [], 1: [], 2: []}
     left = {y: sample_bytes for y in lots}
-    for doc, y, text, *meta in found.toLocalIterator():
-        left[y] -= len((text or "").encode())
-        if left[y] >= 0:
+    for doc, y, text, *meta in found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).toLocalIterator():
+        size = len((text or "").encode())
+        if size <= left[y]:
+            left[y] -= size
             lots[y].append((zlib.crc32(str(doc).encode()), doc, content_features(text), metadata_features(*meta)))
     for lot in lots.values():
         lot.sort()

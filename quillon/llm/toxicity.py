@@ -31,6 +31,8 @@ class Settings:
     #: Bytes of the two dictionaries.
     ordinary_bytes: int = 32_768
     toxic_bytes: int = 8_192
+    #: Windows of ordinary text, drawn at random, that the ordinary dictionary is trained on at most.
+    ordinary_windows: int = 40_000
     #: Length of the stretches by which toxic text is told from ordinary text for training.
     gram: int = 6
     #: Toxic texts that a stretch must be in, and how many times its share of ordinary texts.
@@ -170,7 +172,7 @@ def train(rows: list[tuple[str | None, int]], ratio: float = 1.0, settings: Sett
     random.Random(s.seed).shuffle(stretches)
     common = [w for t in learn_ordinary for w in windows_of(t, s.window)]
     random.Random(s.seed).shuffle(common)
-    model = Model(_dictionary(s.ordinary_bytes, common[:40_000], 64, 8, s.level), _dictionary(s.toxic_bytes, stretches, 16, 6, s.level), s)
+    model = Model(_dictionary(s.ordinary_bytes, common[: s.ordinary_windows], 64, 8, s.level), _dictionary(s.toxic_bytes, stretches, 16, 6, s.level), s)
     compressors = model.compressors()
     held = [(t, 1) for t in toxic[cut[True] :]] + [(t, 0) for t in ordinary[cut[False] :]]
     x = np.array([model.features(t, compressors) for t, _ in held])
@@ -188,16 +190,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """At most ``rows`` labelled texts of each class and ``total_bytes`` in all; how many ordinary rows there are to a toxic one.
 
     The rows of least hash of the id; ids and labels choose them before any text
-    is gathered.
+    is gathered.  Each class has half of the bytes; a text that no longer fits is
+    skipped.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     texts = keyed(docs, id_col, text_col).join(F.broadcast(parts[0].unionByName(parts[1])), "id").select("id", "y", "text")
     out, left = [], {0: total_bytes // 2, 1: total_bytes // 2}
-    for doc, y, text in texts.toLocalIterator():
-        left[y] -= len((text or "").encode())
-        if left[y] >= 0:
+    for doc, y, text in texts.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).toLocalIterator():
+        size = len((text or "").encode())
+        if size <= left[y]:
+            left[y] -= size
             out.append((doc, text or "", y))
     return [(t, y) for _, t, y in sorted(out)], counts.get(0, 0) / max(1, counts.get(1, 0))
 

@@ -44,6 +44,17 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score_toxicity(empty, labels.limit(0)).count() == 0
 
 
+def test_an_overlong_text_leaves_its_class_in(spark):
+    rows = [(i, "x " * 5_000 if i < 2 else f"some words {i} " * (1 + i % 2), "en", "s", 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, toxic int, quality int")
+    samples = [toxicity.labelled_sample(d, labels, "doc_id", "text", "toxic", 100, 8_000)[0] for d in (docs, docs.orderBy(-docs["doc_id"]))]
+    assert samples[0] == samples[1] and len(samples[0]) == 58
+    assert isinstance(quality.fit(docs, labels, sample_bytes=4_000), quality.Model)
+    tight = [toxicity.labelled_sample(d, labels, "doc_id", "text", "toxic", 100, 400)[0] for d in (docs, docs.orderBy(-docs["doc_id"]))]
+    assert tight[0] == tight[1] and 0 < len(tight[0]) < 58
+
+
 def two_views(n, seed):
     rng = np.random.default_rng(seed)
     y = (rng.random(n) < 0.7).astype(float)
