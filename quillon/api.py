@@ -17,8 +17,8 @@ LEAST_GENES = 20
 
 
 def marker_frame(spark: SparkSession, lists: dict[str, list[str]]) -> DataFrame:
-    """``celltype, ct_ord, gene`` of marker lists, in their order."""
-    rows = [(t, i, g) for i, (t, genes) in enumerate(lists.items()) for g in genes]
+    """``celltype, ct_ord, gene`` of marker lists, in their order; an empty list has a null gene."""
+    rows = [(t, i, g) for i, (t, genes) in enumerate(lists.items()) for g in genes or [None]]
     return spark.createDataFrame(rows, "celltype string, ct_ord int, gene string")
 
 
@@ -53,7 +53,44 @@ def annotate(data: Dataset, marker_lists: DataFrame | None = None, threshold: fl
         data = qc.feature_subset(data, features)
     counts, normal = prepare(data, **settings)
     fits = written(markers.pair_fits(normal))
-    return scoring.score_result(fits, written(markers.model(fits, threshold)), counts, marker_lists)
+    others = normal.cells.select("cluster").distinct().count() - 1
+    return scoring.score_result(fits, written(markers.model(fits, threshold, others)), counts, marker_lists)
+
+
+def from_columns(expr: DataFrame, meta: DataFrame, cluster: str, sample: str | None = None, cell: str = "cell", order: str | None = None) -> Dataset:
+    """A dataset whose labels are columns of ``meta``; one sample for all without one.
+
+    ``order``: the column by which cells are first and last; their names without
+    it.  The labels' names in ``meta`` stay beside the dataset's own.
+    """
+    taken = {"cell", "ord", "cluster", "sample"}
+    rest = [c for c in meta.columns if c not in taken]
+    labels = [F.col(cell).alias("cell"), F.col(order or cell).alias("ord"), F.col(cluster).cast("string").alias("cluster"), (F.col(sample).cast("string") if sample else F.lit("sample")).alias("sample")]
+    return Dataset(expr.select("gene", "cell", "value"), meta.select(*labels, *rest))
+
+
+def annotate_columns(expr: DataFrame, meta: DataFrame, cluster: str, sample: str, features: DataFrame | None = None, marker_lists: DataFrame | None = None, min_cells: int = 20, **settings: object) -> Result:
+    """``annotate`` with labels from columns of ``meta``; clusters of fewer than 20 cells go by default."""
+    return annotate(from_columns(expr, meta, cluster, sample), marker_lists, features=features, min_cells=min_cells, **settings)
+
+
+#: What a result must have to be attached to a dataset.
+RESULT_PARTS = ("ude", "prediction", "fits", "enrichment", "markers")
+
+
+def result_of(parts: dict[str, DataFrame | None], threshold: float = 0.9) -> Result:
+    """A result from its parts by name, all of RESULT_PARTS (null where there were no marker lists); others raise.
+
+    ``model`` may come with them; without it the fits are combined anew.
+    """
+    if missing := [p for p in RESULT_PARTS if p not in parts]:
+        raise ValueError(f"the result lacks {', '.join(missing)}")
+    if unknown := sorted(set(parts) - {*RESULT_PARTS, "model"}):
+        raise ValueError(f"a result has no {', '.join(unknown)}")
+    model = parts.get("model")
+    if model is None:
+        model = markers.model(parts["fits"], threshold)
+    return Result(parts["fits"], model, parts["ude"], parts["enrichment"], parts["prediction"], parts["markers"])
 
 
 def attach(cells: DataFrame, result: Result, name: str = "prediction") -> DataFrame:

@@ -59,6 +59,8 @@ def pair_fits(data: Dataset, maxit: int = 50, maxstep: float = 5.0, maxhs: int =
     gene's distinct values; cluster and sample sizes are in every task.
     """
     order = [r["cluster"] for r in clusters_of(data.cells).orderBy("ord").collect()]
+    if len(order) < 2:
+        raise ValueError("there are fewer than two clusters to compare")
     sizes = {(r["cluster"], r["sample"]): r["count"] for r in data.cells.groupBy("cluster", "sample").count().collect()}
     samples = {c: sorted(s for k, s in sizes if k == c) for c in order}
     pairs = list(itertools.combinations(order, 2))
@@ -101,12 +103,14 @@ def call(share: Column, adjusted: Column, threshold: float) -> Column:
     return F.when((share >= threshold) & (adjusted <= 0.05), "upregulated").otherwise("not upregulated")
 
 
-def model(fits: DataFrame, threshold: float = 0.9) -> DataFrame:
+def model(fits: DataFrame, threshold: float = 0.9, others: int | None = None) -> DataFrame:
     """``cluster, gene, avg_beta, combined_pv, p_adjust, up_share, change`` of the genes fitted against all others.
 
-    With two clusters in all the p-value stays as it is, unclamped.
+    ``others``: how many clusters each is compared with; else as many as the fits
+    have, which misses a cluster none of whose fits converged.  With two clusters
+    in all the p-value stays as it is, unclamped.
     """
-    clusters = fits.select("cluster").distinct().agg((F.count("*") - 1).alias("others"))
+    clusters = fits.select("cluster").distinct().agg((F.count("*") - 1 if others is None else F.lit(others).cast("bigint")).alias("others"))
     combined = F.lit(0.5) - F.atan(F.avg(statistic(F.col("pvalue")))) / F.lit(np.pi)
     rows = (
         fits.groupBy("cluster", "gene")
@@ -124,7 +128,7 @@ def model(fits: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def wide(fits: DataFrame, rows: DataFrame, cluster: str) -> DataFrame:
-    """One cluster's fits side by side: beta and p-value by other cluster, then the summary."""
+    """One cluster's fits side by side: beta and p-value by other cluster, and the summary."""
     own = fits.where(F.col("cluster") == cluster).groupBy("gene").pivot("other").agg(F.first("beta").alias("beta"), F.first("pvalue").alias("pv"))
     return rows.where(F.col("cluster") == cluster).drop("cluster").join(own, "gene")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import title_case
-from ..model import Dataset
+from ..model import Dataset, clusters_of
 from . import markers as M
 from .clusters import JOINER, expand_labels
 from .normalize import pct as expressed
@@ -34,9 +34,13 @@ def gene_scores(rows: DataFrame, fits: DataFrame, shares: DataFrame) -> DataFram
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "gene")))
 
 
-def fold_case(markers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Markers in upper case if the first gene is, else in title case; repeated ones once."""
-    upper = rows.agg(F.min("gene").alias("first")).select((F.col("first") == F.upper("first")).alias("upper"))
+def fold_case(markers: DataFrame, rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Markers in upper case if the first gene of the first cluster in ``clusters(cluster, ord)`` is, else in title case; repeated ones once.
+
+    The first cluster is that of least ``ord`` among those with genes.
+    """
+    first = rows.join(clusters, "cluster").agg(F.min_by("gene", F.struct("ord", "gene")).alias("first"))
+    upper = first.select(F.coalesce(F.col("first") == F.upper("first"), F.lit(False)).alias("upper"))
     cased = markers.crossJoin(F.broadcast(upper)).withColumn("gene", F.when(F.col("upper"), F.upper("gene")).otherwise(title_case(F.col("gene"))))
     return cased.select("celltype", "ct_ord", "gene").distinct()
 
@@ -44,7 +48,8 @@ def fold_case(markers: DataFrame, rows: DataFrame) -> DataFrame:
 def enrichment(scores: DataFrame, markers: DataFrame, clusters: DataFrame) -> DataFrame:
     """``cluster, celltype, ct_ord, raw, score, rank``: each list's sum of gene scores, and scaled to 0..1 in its cluster.
 
-    Where all sums are 0 they stay; where all are equal and not 0 they become 1.
+    A list without genes (a null one) takes part with a sum of 0.  Where all sums
+    are 0 they stay; where all are equal and not 0 they become 1.
     """
     types = markers.select("celltype", "ct_ord").distinct()
     sums = scores.join(markers, "gene").groupBy("cluster", "celltype").agg(F.sum("score").alias("raw"))
@@ -115,25 +120,33 @@ class Result:
     markers: DataFrame | None = None
 
 
-def score_result(fits: DataFrame, rows: DataFrame, data: Dataset, markers: DataFrame | None) -> Result:
-    """Scores and predictions of fitted models over the counts in ``data``."""
-    clusters = data.cells.select("cluster").distinct()
+def score_result(fits: DataFrame, rows: DataFrame, data: Dataset, markers: DataFrame | None, names: DataFrame | None = None) -> Result:
+    """Scores and predictions of fitted models over the counts in ``data``.
+
+    ``names(cluster)``: the clusters of the model, where the data have others too.
+    """
+    clusters = clusters_of(data.cells)
+    if names is not None:
+        clusters = names.select("cluster").distinct().join(clusters, "cluster", "left")
     shares = expressed(data, genes=M.all_genes(rows))
     scores = gene_scores(rows, fits, shares)
     lists = gene_lists(scores, clusters)
     if markers is None:
         return Result(fits, rows, lists)
-    cased = fold_case(markers, rows)
+    cased = fold_case(markers, rows, clusters)
     enriched = enrichment(scores, cased, clusters)
     return Result(fits, rows, lists, enriched, predict(enriched), marker_table(enriched, scores, cased))
 
 
 def add_markers(result: Result, data: Dataset, markers: DataFrame) -> Result:
-    """Predictions with other markers on the same fits; labels follow the fits' merged ones, genes those in ``data``."""
-    moved = Dataset(data.expr, relabel(data.cells, result.model))
+    """Predictions with other markers on the same fits; labels follow the fits' merged ones, genes those in ``data``.
+
+    Only the model's clusters are predicted: cells of others are left out.
+    """
+    moved = Dataset(data.expr, relabel(data.cells, result.ude))
     genes = data.expr.select("gene").distinct()
     rows, fits = (d.join(genes, "gene", "left_semi") for d in (result.model, result.fits))
-    new = score_result(fits, rows, moved, markers)
+    new = score_result(fits, rows, moved, markers, result.ude)
     return replace(result, enrichment=new.enrichment, prediction=new.prediction, markers=new.markers)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions.scalars import title_case
+from ..functions.storage import written
 from ..model import Dataset
 from ..operators import clusters as C
 from ..operators import markers as M
@@ -161,7 +162,7 @@ def cl_gene_min_umi(spark: SparkSession, d: str) -> DataFrame:
     return Q.genes_by_total(A.documents(spark, d), 100).expr.groupBy("gene").agg(F.sum("value").alias("total"))
 
 
-@query()
+@query(f"WITH {M1} SELECT cell, cluster FROM cells ORDER BY md5('0:' || CAST(cell AS VARCHAR)), cell LIMIT (SELECT CAST(floor(count(*) * 0.3) AS BIGINT) FROM cells)")
 def downsample_cells(spark: SparkSession, d: str) -> DataFrame:
     return Q.downsample(m1(spark, d), 0.3).cells.select("cell", "cluster")
 
@@ -308,7 +309,7 @@ LISTS = """types AS (SELECT * FROM (VALUES ('early', 0), ('late', 1), ('none', 2
   SELECT DISTINCT celltype, ct_ord, gene FROM types JOIN (SELECT DISTINCT gene FROM expr) ON (celltype = 'early' AND gene < 'm') OR (celltype = 'late' AND ascii(right(gene, 1)) % 2 = 0)
 )"""
 ENRICHED = """sums AS (SELECT cluster, celltype, sum(score) AS raw FROM scores JOIN lists USING (gene) GROUP BY 1, 2), grid AS (
-  SELECT c.cluster, t.celltype, t.ct_ord, coalesce(raw, 0) AS raw FROM (SELECT DISTINCT cluster FROM cells) c CROSS JOIN (SELECT DISTINCT celltype, ct_ord FROM lists) t LEFT JOIN sums s ON s.cluster = c.cluster AND s.celltype = t.celltype
+  SELECT c.cluster, t.celltype, t.ct_ord, coalesce(raw, 0) AS raw FROM (SELECT DISTINCT cluster FROM cells) c CROSS JOIN types t LEFT JOIN sums s ON s.cluster = c.cluster AND s.celltype = t.celltype
 ), edge AS (SELECT *, min(raw) OVER (PARTITION BY cluster) AS low, max(raw) OVER (PARTITION BY cluster) AS high FROM grid),
 enriched AS (
   SELECT cluster, celltype, ct_ord, CASE WHEN low = 0 AND high = 0 THEN 0 WHEN low = high THEN 1 ELSE (raw - low) / (high - low) END AS score,
@@ -331,7 +332,8 @@ def lists_of(data: Dataset, middle: str = "m") -> DataFrame:
     genes = data.expr.select("gene").distinct()
     early = genes.where(F.col("gene") < middle).select(F.lit("early").alias("celltype"), F.lit(0).alias("ct_ord"), "gene")
     late = genes.where("ascii(right(gene, 1)) % 2 = 0").select(F.lit("late").alias("celltype"), F.lit(1).alias("ct_ord"), "gene")
-    return early.unionByName(late)
+    none = genes.sparkSession.createDataFrame([("none", 2, None)], "celltype string, ct_ord int, gene string")
+    return early.unionByName(late).unionByName(none)
 
 
 def parts(spark: SparkSession, d: str) -> tuple[Dataset, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -418,15 +420,20 @@ def expand_prediction(spark: SparkSession, d: str) -> DataFrame:
     return S.expand_prediction(labels.withColumn("cluster", F.col("label"))).select("label", "cluster")
 
 
-UPPER = ALL.replace("p_name AS gene", "upper(p_name) AS gene").replace("gene < 'm'", "gene < 'M'")
+UPPER = (
+    ALL.replace("p_name AS gene", "upper(p_name) AS gene")
+    .replace("gene < 'm'", "gene < 'M'")
+    .replace("ON x.cluster <> y.cluster\n", "ON x.cluster <> y.cluster AND 'FURNITURE' NOT IN (x.cluster, y.cluster)\n")
+    .replace("(SELECT DISTINCT cluster FROM cells) c CROSS JOIN types", "(SELECT DISTINCT cluster FROM fits) c CROSS JOIN types")
+)
 BEST = "SELECT cluster, CASE WHEN score = 0 THEN '* Loss of match *' ELSE celltype END AS prediction FROM enriched WHERE rank = 1"
 
 
 def upper_parts(spark: SparkSession, d: str) -> tuple[Dataset, DataFrame, DataFrame, DataFrame]:
-    """Data whose genes are in upper case, as marker lists become; fits, model and lists."""
+    """Data whose genes are in upper case, as marker lists become; fits and model without one of its clusters; lists."""
     data = m1(spark, d)
     data = data.with_expr(data.expr.withColumn("gene", F.upper("gene")))
-    fits = fits_of(data)
+    fits = fits_of(data).where("cluster <> 'FURNITURE' and other <> 'FURNITURE'")
     return data, fits, M.model(fits, 0.5), lists_of(data, "M")
 
 
@@ -449,10 +456,10 @@ def marker_casefold(spark: SparkSession, d: str) -> DataFrame:
 
 # -- Firth fits -------------------------------------------------------------------------------------
 
-FIRTH = """base AS (
-  SELECT p.a, p.b, g.gene, c.cell, coalesce(e.value, 0) AS x, CASE WHEN c.cluster = p.a THEN 1.0 ELSE 0.0 END AS y
+FIRTH = """dense AS (
+  SELECT p.a, p.b, g.gene, c.cell, c.sample, coalesce(e.value, 0) AS x0, CASE WHEN c.cluster = p.a THEN 1.0 ELSE 0.0 END AS y
   FROM pairs p CROSS JOIN (SELECT DISTINCT gene FROM norm) g JOIN cells c ON c.cluster IN (p.a, p.b) LEFT JOIN norm e ON e.gene = g.gene AND e.cell = c.cell
-), fit AS (
+), base AS (SELECT a, b, gene, cell, y, {x} AS x FROM dense), fit AS (
   SELECT a, b, gene, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, 0 AS it FROM (SELECT DISTINCT a, b, gene FROM base)
   UNION ALL
   SELECT a, b, gene, b0 + greatest(-5, least(5, (sc * u0 - sb * u1) / det)), b1 + greatest(-5, least(5, (sa * u1 - sb * u0) / det)), it + 1 FROM (
@@ -466,32 +473,68 @@ FIRTH = """base AS (
       )
     ) GROUP BY a, b, gene, b0, b1, it
   )
-), done AS (SELECT a, b, gene, b1 FROM fit WHERE it = 18)"""
+), done AS (SELECT a, b, gene, b0, b1 FROM fit WHERE it = 18), likely AS (
+  SELECT a, b, gene, any_value(b1) AS b1, sum(CASE WHEN y > 0 THEN ln(p) ELSE ln(1 - p) END) + ln(sum(p * (1 - p)) * sum(p * (1 - p) * x * x) - sum(p * (1 - p) * x) * sum(p * (1 - p) * x)) / 2 AS full_l,
+    CAST(count(*) AS DOUBLE) AS n, sum(y) AS n1, ln(count(*) * sum(x * x) - sum(x) * sum(x)) / 2 AS spread
+  FROM (SELECT f.*, d.x, d.y, 1 / (1 + exp(-(f.b0 + f.b1 * d.x))) AS p FROM done f JOIN base d USING (a, b, gene)) GROUP BY a, b, gene
+), root AS (
+  SELECT a, b, gene, b1, least(4.0, sqrt(greatest(0, full_l - (n1 * ln(q) + (n - n1) * ln(1 - q) + ln(q * (1 - q)) + spread)))) AS r FROM (SELECT *, (n1 + 1) / (n + 2) AS q FROM likely)
+), one_way AS (
+  SELECT a, b, gene, b1, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END) * power(r, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) AS p FROM root
+), fits AS (SELECT a AS cluster, b AS other, gene, b1 AS beta, p AS pvalue FROM one_way UNION ALL SELECT b, a, gene, -b1, p FROM one_way)"""
+FIRTH_ONE, FIRTH_BATCH = FIRTH.format(x="x0"), FIRTH.format(x="x0 - avg(x0) OVER (PARTITION BY a, b, gene, sample)")
+FIT_ROWS = "SELECT cluster, other, gene, round(beta, 4) + 0.0 AS beta, round(pvalue, 5) + 0.0 AS pvalue FROM fits"
+
+
+def fit_rows(fits: DataFrame) -> DataFrame:
+    return fits.select("cluster", "other", "gene", (F.round("beta", 4) + F.lit(0.0)).alias("beta"), (F.round("pvalue", 5) + F.lit(0.0)).alias("pvalue"))
 
 
-@query(f"WITH RECURSIVE {M1}, {NORM}, {ORDERED}, {FIRTH} SELECT a AS cluster, b AS other, gene, round(b1, 4) + 0.0 AS beta FROM done UNION ALL SELECT b, a, gene, round(-b1, 4) + 0.0 FROM done")
+def one_sample(data: Dataset) -> Dataset:
+    return Dataset(data.expr, data.cells.withColumn("sample", F.lit("sample")))
+
+
+@query(f"WITH RECURSIVE {M1}, {NORM}, {ORDERED}, {FIRTH_ONE} {FIT_ROWS}")
 def firth_fits(spark: SparkSession, d: str) -> DataFrame:
-    data = N.log_normalise(m1(spark, d))
-    one = Dataset(data.expr, data.cells.withColumn("sample", F.lit("sample")))
-    return M.pair_fits(one, tolerance=1e-10).select("cluster", "other", "gene", (F.round("beta", 4) + F.lit(0.0)).alias("beta"))
+    return fit_rows(M.pair_fits(one_sample(N.log_normalise(m1(spark, d))), tolerance=1e-10))
 
 
-@query()
+@query(f"WITH RECURSIVE {M1}, {NORM}, {ORDERED}, {FIRTH_BATCH} {FIT_ROWS}")
 def firth_fits_batch(spark: SparkSession, d: str) -> DataFrame:
-    return M.pair_fits(N.log_normalise(m1(spark, d)))
+    """Regions as samples, whose means are taken out pair by pair."""
+    return fit_rows(M.pair_fits(N.log_normalise(m1(spark, d)), tolerance=1e-10))
+
+
+@query(f"WITH RECURSIVE {M1}, {NORM}, {ORDERED}, {FIRTH_BATCH}, {MODEL} SELECT cluster, gene, round(avg_beta, 4) + 0.0 AS avg_beta, round(up_share, 6) + 0.0 AS up_share, round(combined_pv, 4) + 0.0 AS combined_pv, round(p_adjust, 4) + 0.0 AS p_adjust, change FROM model")
+def fitted_model(spark: SparkSession, d: str) -> DataFrame:
+    """Fits, their combination, adjustment and calls in one."""
+    data = N.log_normalise(m1(spark, d))
+    rows = M.model(written(M.pair_fits(data, tolerance=1e-10)), 0.5, data.cells.select("cluster").distinct().count() - 1)
+    four = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("avg_beta", "combined_pv", "p_adjust")]
+    return rows.select("cluster", "gene", *four, r6("up_share").alias("up_share"), "change")
+
+
+@query(f"""WITH {FITS}, {MODEL}, own AS (SELECT * FROM fits WHERE cluster = 'BUILDING')
+SELECT m.gene, round(m.avg_beta, 6) + 0.0 AS avg_beta, m.change, {", ".join(f"max(CASE WHEN other = '{o}' THEN beta END) AS {o.lower()}_beta, round(max(CASE WHEN other = '{o}' THEN pvalue END), 9) + 0.0 AS {o.lower()}_pv" for o in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"))}
+FROM model m JOIN own USING (gene) WHERE m.cluster = 'BUILDING' GROUP BY m.gene, m.avg_beta, m.change""")
+def model_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One cluster's model with its fits side by side."""
+    fits = fits_of(m1(spark, d))
+    rows = M.wide(fits, M.model(fits, 0.5), "BUILDING")
+    sides = [c for o in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY") for c in (F.col(f"{o}_beta").alias(f"{o.lower()}_beta"), (F.round(f"{o}_pv", 9) + F.lit(0.0)).alias(f"{o.lower()}_pv"))]
+    return rows.select("gene", r6("avg_beta").alias("avg_beta"), "change", *sides)
 
 
 @query()
 def unique_markers(spark: SparkSession, d: str) -> DataFrame:
     """All steps on documents: languages as clusters, sources as samples."""
-    data = Q.create(A.documents(spark, d), share=0.05)
-    return api.annotate(data).model
+    return api.annotate(Q.create(A.documents(spark, d))).model
 
 
 @query()
 def annotated_documents(spark: SparkSession, d: str) -> DataFrame:
     lists = {"english": ["the", "and", "of"], "german": ["der", "die", "und"], "french": ["la", "les", "et"], "spanish": ["el", "los", "y"]}
-    data = Q.create(A.documents(spark, d), share=0.05)
+    data = Q.create(A.documents(spark, d))
     return api.annotate(data, api.marker_frame(spark, {k: [w.upper() for w in v] for k, v in lists.items()})).prediction
 
 
@@ -546,13 +589,17 @@ r AS (SELECT *, count(*) OVER (PARTITION BY gene, value) AS t, rank() OVER (PART
 s AS (SELECT gene, grp, sum(r) AS rs, CAST(count(*) AS DOUBLE) AS n1, sum(value) AS s, CAST(any_value(n) AS DOUBLE) AS n, any_value(everything) AS everything FROM r GROUP BY 1, 2),
 ti AS (SELECT gene, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY gene),
 u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n - n1 AS n2 FROM s JOIN ti USING (gene)),
-z AS (SELECT *, u - n1 * n2 / 2 AS dd, sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sigma FROM u)
-SELECT gene, grp, round(u / (n1 * n2), 6) + 0.0 AS auc, round(s / n1 - (everything - s) / n2, 6) + 0.0 AS logfc, round(CASE WHEN sigma > 0 THEN (dd - 0.5 * sign(dd)) / sigma END, 6) + 0.0 AS z FROM z""")
+z AS (SELECT *, u - n1 * n2 / 2 AS dd, sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sigma FROM u),
+zz AS (SELECT *, CASE WHEN sigma > 0 THEN (dd - 0.5 * sign(dd)) / sigma END AS zz FROM z),
+pp AS (SELECT *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END) * power(least(4.0, abs(zz) / sqrt(2)), 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) AS p FROM zz),
+zp AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p NULLS LAST, gene) AS k, count(p) OVER (PARTITION BY grp) AS known FROM pp)
+SELECT gene, grp, round(u / (n1 * n2), 6) + 0.0 AS auc, round(s / n1 - (everything - s) / n2, 6) + 0.0 AS logfc, round(zz, 6) + 0.0 AS z, round(p, 6) + 0.0 AS pvalue,
+  round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * known / k) OVER (PARTITION BY grp ORDER BY k DESC)) END, 6) + 0.0 AS p_adjust FROM zp""")
 def wilcoxon_auc(spark: SparkSession, d: str) -> DataFrame:
     data = A.events(spark, d)
     grid = data.expr.select("gene").distinct().crossJoin(data.cells.select("cell")).join(data.expr, ["gene", "cell"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     out = K.rank_sums(grid, data.cells.select("cell", F.col("cluster").alias("grp")))
-    return out.select("gene", "grp", r6("auc").alias("auc"), r6("logfc").alias("logfc"), r6("z").alias("z"))
+    return out.select("gene", "grp", *[r6(c).alias(c) for c in ("auc", "logfc", "z", "pvalue", "p_adjust")])
 
 
 @query("""WITH f AS (SELECT lang, min(doc_id) AS o FROM documents WHERE lang <> 'fr' GROUP BY lang), k AS (SELECT lang, CAST(row_number() OVER (ORDER BY o) AS VARCHAR) AS label FROM f)
@@ -571,9 +618,9 @@ def round_table(spark: SparkSession, d: str) -> DataFrame:
     return K.round_table(one.unionByName(two), 2)
 
 
-@query()
+@query("SELECT CAST(label AS VARCHAR) AS cluster, vec_id AS cell, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS length FROM embeddings")
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine similarities between scores on all components, which are those of the vectors."""
+    """Lengths of scores on all components, which are those of the vectors: the components are a turned frame."""
     import numpy as np
     import pandas as pd
 
@@ -581,8 +628,9 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
     def scores(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable")
-        found = kernels.principal_scores(np.array(rows["x"].tolist(), float), 20)
-        return pd.DataFrame({"cluster": rows["cluster"], "cell": rows["cell"], "length": np.linalg.norm(found, axis=1)})
+        x = np.array(rows["x"].tolist(), float)
+        found = kernels.principal_scores(x, x.shape[1])
+        return pd.DataFrame({"cluster": rows["cluster"], "cell": rows["cell"], "length": np.round(np.linalg.norm(found, axis=1), 6)})
 
     return vectors(spark, d).groupBy("cluster").applyInPandas(scores, "cluster string, cell bigint, length double")
 
@@ -595,7 +643,7 @@ def louvain_round(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def multi_round(spark: SparkSession, d: str) -> DataFrame:
-    return K.multiple_clustering(A.events(spark, d), loop_max=2, min_cells=20, k=20, num_hvg=5, num_de=2, min_umi=10)
+    return K.multiple_clustering(A.events(spark, d), min_cells=20, k=20, num_hvg=5, num_de=2, min_umi=10)
 
 
 # -- streaming, beyond the core ---------------------------------------------------------------------

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import api
-from quillon.functions.scalars import title_case
+from quillon.functions import kernels
+from quillon.functions.scalars import erfc, title_case
 from quillon.model import Dataset
 from quillon.operators import clusters, markers, normalize, qc, scoring, subcluster
 
@@ -107,6 +108,8 @@ def test_retime_checks_threshold(spark):
 def test_title_case(spark):
     rows = spark.createDataFrame([("hla-dra",), ("CD4 cells",), ("ñu",)], "t string").select(title_case(F.col("t")).alias("t")).collect()
     assert [r[0] for r in rows] == ["Hla-Dra", "Cd4 Cells", "Ñu"]
+    long = spark.range(1).select(title_case(F.repeat(F.lit("x"), 2_000_000)).alias("t")).first()[0]
+    assert long == "X" + "x" * 1_999_999
 
 
 def test_enrichment_of_one_list(spark):
@@ -118,6 +121,74 @@ def test_enrichment_of_one_list(spark):
     assert {r["cluster"]: r["prediction"] for r in scoring.predict(enriched).collect()} == {"a": "only", "b": scoring.NO_MATCH}
 
 
+def test_an_empty_list_scores_nothing(spark):
+    scores = spark.createDataFrame([("x", "G1", 2.0, 1), ("x", "G2", 1.0, 2)], "cluster string, gene string, score double, rank int")
+    lists = api.marker_frame(spark, {"A": ["G1"], "B": ["G2"], "none": []})
+    enriched = scoring.enrichment(scores, lists, spark.createDataFrame([("x",)], "cluster string"))
+    assert {r["celltype"]: r["score"] for r in enriched.collect()} == {"A": 1.0, "B": 0.5, "none": 0.0}
+
+
+def test_case_follows_the_first_cluster(spark):
+    rows = spark.createDataFrame([("b", "Cd4"), ("a", "ACTB")], "cluster string, gene string")
+    lists = api.marker_frame(spark, {"t": ["cd4", "CD4"], "none": []})
+    for first, expected in (("b", "Cd4"), ("a", "CD4")):
+        order = spark.createDataFrame([(c, int(c != first)) for c in "ab"], "cluster string, ord int")
+        assert {r["gene"] for r in scoring.fold_case(lists, rows, order).collect()} == {expected, None}
+
+
+def test_only_the_models_clusters_are_predicted(spark):
+    data = dataset(spark, [[3, 1], [2, 1], [1, 4], [1, 2], [5, 5]], genes=["G1", "G2"], clusters_=["a", "a", "b", "b", "tiny"])
+    fits = spark.createDataFrame([(c, o, g, b, 1e-6) for c, o, s in (("a", "b", 1), ("b", "a", -1)) for g, b in (("G1", 1.0 * s), ("G2", -1.0 * s))], "cluster string, other string, gene string, beta double, pvalue double")
+    rows = markers.model(fits)
+    result = scoring.add_markers(scoring.Result(fits, rows, rows), data, api.marker_frame(spark, {"one": ["g1"], "two": ["g2"], "none": []}))
+    assert {r["cluster"]: r["prediction"] for r in result.prediction.collect()} == {"a": "one", "b": "two"}
+
+
+def test_a_cluster_without_fits_counts(spark):
+    fits = spark.createDataFrame([("a", "b", "g", 1.0, 0.01), ("b", "a", "g", -1.0, 0.01)], "cluster string, other string, gene string, beta double, pvalue double")
+    assert markers.model(fits).count() == 2 and markers.model(fits, others=2).isEmpty()
+
+
+def test_one_cluster_has_nothing_to_compare(spark):
+    with pytest.raises(ValueError, match="two clusters"):
+        markers.pair_fits(dataset(spark, [[1], [2]]))
+
+
+def test_erfc(spark):
+    found = spark.range(61).select((F.col("id") / 5).alias("x")).select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(r["y"] == pytest.approx(math.erfc(r["x"]), rel=1e-12) for r in found)
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS x").select(erfc(F.col("x"))).first()[0] is None
+
+
+def test_rank_sums_equal_the_kernel(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x, inside = rng.integers(0, 4, (12, 40)).astype(float), np.arange(40) % 3
+    values = spark.createDataFrame([(f"g{g:02d}", c, float(x[g, c])) for g in range(12) for c in range(40)], "gene string, cell bigint, value double")
+    groups = spark.createDataFrame([(c, str(inside[c])) for c in range(40)], "cell bigint, grp string")
+    found = {(r["gene"], r["grp"]): r for r in subcluster.rank_sums(values, groups).collect()}
+    for grp in range(3):
+        tests = [kernels.rank_sum(row, inside == grp) for row in x]
+        adjusted = kernels.adjust(np.array([t[1] for t in tests]))
+        for g, ((auc, p, change), q) in enumerate(zip(tests, adjusted, strict=True)):
+            r = found[f"g{g:02d}", str(grp)]
+            assert (r["auc"], r["pvalue"], r["logfc"], r["p_adjust"]) == pytest.approx((auc, p, change, q))
+
+
+def test_labels_from_columns_and_results_from_parts(spark):
+    data = dataset(spark, [[1], [2]])
+    meta = spark.createDataFrame([(0, "k", 7, "x"), (1, "l", 8, "y")], "cell bigint, kind string, batch int, note string")
+    rows = api.from_columns(data.expr, meta, "kind", "batch").cells.orderBy("cell").collect()
+    assert [(r["cluster"], r["sample"], r["note"]) for r in rows] == [("k", "7", "x"), ("l", "8", "y")]
+    assert {r["sample"] for r in api.from_columns(data.expr, meta, "kind").cells.collect()} == {"sample"}
+    fits = spark.createDataFrame([("a", "b", "g", 1.0, 0.01), ("b", "a", "g", -1.0, 0.01)], "cluster string, other string, gene string, beta double, pvalue double")
+    parts = {"ude": fits, "prediction": None, "fits": fits, "enrichment": None, "markers": None}
+    assert api.result_of(parts).model.count() == 2
+    with pytest.raises(ValueError, match="lacks fits"):
+        api.result_of({k: v for k, v in parts.items() if k != "fits"})
+
+
 def test_predictions_reach_cells(spark):
     cells = dataset(spark, [[1]] * 3, clusters_=["A", "C", "D"]).cells
     prediction = spark.createDataFrame([("A & B", "x"), ("C", "y")], "cluster string, prediction string")

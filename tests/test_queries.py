@@ -10,7 +10,7 @@ from quillon.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["expr_customer_part", "qc_pipeline", "log_normalise", "cluster_lfc", "merged_clusters", "model_table", "gene_score", "prediction", "firth_fits", "knn_edges", "jaccard_edges", "wilcoxon_auc", "streamed_pct"]
+QUICK = ["expr_customer_part", "qc_pipeline", "log_normalise", "cluster_lfc", "merged_clusters", "model_table", "gene_score", "prediction", "firth_fits", "firth_fits_batch", "fitted_model", "model_wide", "add_markers", "downsample_cells", "pca_scores", "knn_edges", "jaccard_edges", "wilcoxon_auc", "streamed_pct"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
