@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows handed to a row function at once: bounds a worker's memory.
+#: Rows handed to a row function at once, and their bytes (of more than one row): bounds a worker's memory.
 SLICE_ROWS = 256
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +31,24 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def kind_of(df: DataFrame, name: str) -> str:
+    """A column's type, for use in a schema."""
+    return df.schema[name].dataType.simpleString()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str | T.StructType, state: Callable[[], object] | None = None) -> DataFrame:
-    """Map slices of rows: ``fn(state, columns)`` gets lists by column name, returns lists.
+    """Map slices of rows: ``fn(state, columns)`` gets lists by column name, returns lists or Arrow arrays.
 
     ``state`` is built once in each task.  Row order within a partition is kept.
     """
@@ -38,16 +58,16 @@ def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str | T.StructTy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = state() if state else None
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(start, SLICE_ROWS)
+            for piece in _slices(batch):
                 out = fn(own, {name: _lists(piece.column(i)) for i, name in enumerate(piece.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        _give_back()
 
     return df.mapInArrow(run, struct)
 
 
 def column_function(fn: Callable[..., list], kind: str, state: Callable[[], object]) -> Callable[..., object]:
-    """A function of columns for use in ``select``: ``fn(state, *lists)`` gives a list of the results.
+    """A function of columns for use in ``select``: ``fn(state, *lists)`` gives the results as a list or Arrow array.
 
     It counts as nondeterministic, so that a filter on its result doesn't make it run twice.
     """
@@ -57,15 +77,44 @@ def column_function(fn: Callable[..., list], kind: str, state: Callable[[], obje
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         own = state()
         for batch in batches:
-            columns = batch if isinstance(batch, tuple) else (batch,)
-            parts = []
-            for start in range(0, len(columns[0]), SLICE_ROWS):
-                parts.append(pa.array(fn(own, *(_lists(c.slice(start, SLICE_ROWS)) for c in columns)), type=arrow))
+            columns = list(batch) if isinstance(batch, tuple) else [batch]
+            rows = pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
+            parts = [_array(fn(own, *map(_lists, piece.columns)), arrow) for piece in _slices(rows)]
             yield pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
+        _give_back()
 
     return run.asNondeterministic()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system at a task's end: idle workers stay beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of SLICE_ROWS rows and SLICE_BYTES bytes at most; a row that is larger is a slice of its own."""
+    start = 0
+    while start < batch.num_rows:
+        n = SLICE_ROWS
+        while (piece := batch.slice(start, n)).nbytes > SLICE_BYTES and n > 1:
+            n //= 2
+        yield piece
+        start += n
+
+
+def int_lists(parts: list[np.ndarray]) -> pa.Array:
+    """An Arrow list of int32 for each of ``parts``, without a Python number for each value."""
+    ends = np.cumsum([0, *map(len, parts)])
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), type=pa.list_(pa.field("element", pa.int32())))
+
+
+def _array(values: list | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def _lists(column: pa.Array) -> list:
     """``to_pylist``, faster for lists of numbers without nulls."""
     if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.null_count and not column.values.null_count:
@@ -77,8 +126,9 @@ def _lists(column: pa.Array) -> list:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where the session has it; else (tests, one machine)
-    a temporary folder of this process is set and used.
+    ``spark.checkpoint.dir`` where the session has it; else, on a master of one
+    machine (tests), a temporary folder of this process is set and used.  Any other
+    master without it raises, as its executors share no folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -86,6 +136,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import read, remove, written
+from ._common import fresh, read, remove, written
 
 #: Shortest repeated run, in words, that is found: every one is, whatever its lines.
 MIN_WORDS = 50
@@ -13,17 +13,6 @@ MIN_WORDS = 50
 _FIRST_ID = -(2**63)
 
 
-def _fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names like ``names`` that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def _owner(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FIRST_ID)), F.xxhash64(F.col(text_col))
 
@@ -116,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text are one document and stay equal.  Null ids count as the lowest id.
     Ranges are null where nothing was cut.  An empty table gives an empty one.
     """
-    doc, version, runs_doc, runs_version = _fresh(docs, "_doc", "_version", "_runs_doc", "_runs_version")
+    doc, version, runs_doc, runs_version = fresh(docs, "_doc", "_version", "_runs_doc", "_runs_version")
     if runs_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {runs_col}; give another runs_col")
     runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc").alias(runs_doc), F.col("version").alias(runs_version), F.col("runs").alias(runs_col))

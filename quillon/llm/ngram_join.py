@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, map_columns, partitions, read, remove, written
+from ._common import column_function, fresh, keyed, map_columns, partitions, read, written
 from .components import components
 
 #: Words of a shingle and similarity in hundredths, where no contract says otherwise.
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_columns(pairs.join(y, "y").join(x, "x"), check, "x bigint, y bigint")
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``x, y``: links between signatures of different sets that join every similar pair by a path.
 
     Tokens are counted over all texts and ordered from rare to frequent; tokens
@@ -243,7 +243,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = send(seen, x["text"])
         return {f: [r[f] for r in rows] for f in fields}
 
-    sent = map_columns(keyed(docs, id_col, text_col).select("text"), chunk, _CHUNK, set)
+    sent = map_columns(docs.select(F.col(text_col).alias("text")), chunk, _CHUNK, set)
     shared = sent.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, part int, nodes binary, sizes binary, counts binary, tokens binary, frequency binary")
     sets = written(
         shared.groupBy("bucket").applyInArrow(_prefixes(percent), "node bigint, size int, uniques int, matches int, keys array<bigint>, frequency array<int>, tokens binary"),
@@ -322,6 +322,24 @@ def _blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
     return blocks
 
 
+def _classes(members: DataFrame, links: DataFrame, rank: Column) -> DataFrame:
+    """``node, first``: for each signature of ``members`` the least ``rank`` that links reach."""
+    own = members.where("node is not null").groupBy("node").agg(F.min(rank).alias("least"))
+    placed = own.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("first"))
+    return placed.select("node", "component").join(least, "component", "left").select("node", "first")
+
+
+def _described(shingle: int) -> Callable[..., Column]:
+    """A function of a text column: its number of shingles, and its signature (null without any)."""
+
+    def describe(_: None, texts: list) -> list[dict]:
+        sets = [shingles(t, shingle) for t in texts]
+        return [{"n": len(s), "node": signature(s) if len(s) else None} for s in sets]
+
+    return column_function(describe, "struct<n:bigint,node:bigint>", lambda: None)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id``: a row for each row of ``docs``.
 
@@ -330,21 +348,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets are one class whatever their number.  Null and empty texts have no
     shingles and are linked with nothing, not even each other.  Rows with equal
     ids count each for itself; null ids are never the least, and a class of none
-    but null ids has a null component.  An empty table gives an empty one.
+    but null ids has a null component.  Ids are of any type that has an order.
+    An empty table gives an empty one.
     """
+    rows = keyed(docs, id_col, text_col).select("id", _described(shingle)("text").alias("d"))
+    members = written(rows.select("id", F.col("d.n").alias("n_shingles"), F.col("d.node").alias("node")), "members")
+    classes = written(_classes(members, similar_links(docs, text_col, shingle, percent), F.col("id")), "classes")
+    joined = members.join(classes, "node", "left")
+    return joined.select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("first")).alias("component_id"))
 
-    def describe(_: None, x: dict) -> dict:
-        sets = [shingles(t, shingle) for t in x["text"]]
-        return {"id": x["id"], "n_shingles": [len(s) for s in sets], "node": [signature(s) if len(s) else None for s in sets]}
 
-    members = written(map_columns(keyed(docs, id_col, text_col), describe, "id bigint, n_shingles bigint, node bigint"), "members")
-    own = members.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    reached = components(similar_links(docs, id_col, text_col, shingle, percent))
-    placed = own.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.where("component <> node or least is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = written(placed.select("node", "component").join(least, "component", "left").select("node", "component_id"), "classes")
-    joined = members.join(classes, "node", "left")
-    return joined.select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each class that ``near_duplicates`` finds: that of least id, null ids last.
+
+    Decided row by row, not by id: of rows with one id those that are copies of
+    nothing stay, and of rows equal in all columns one does (of rows with the
+    same id, text and class any one).  Null and empty texts all stay.  An empty
+    table gives an empty one.
+    """
+    row, mark = fresh(docs, "_row", "_mark")
+    marked = written(docs.withColumn(mark, _described(shingle)(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "marked")
+    members = written(marked.select(F.col(f"{mark}.node").alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(row).alias("row")).alias("rank")), "members")
+    classes = _classes(members, similar_links(docs, text_col, shingle, percent), F.col("rank"))
+    gone = written(members.join(classes, "node").where("rank.row <> first.row").select(F.col("rank.row").alias(row)), "gone")
+    return marked.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

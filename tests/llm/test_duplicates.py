@@ -60,6 +60,19 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark, empty):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text.replace("w59", "x"), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, text, 1), (5, other, 2), (7, near, 3), (None, text, 4), (9, "some other words of a text", 5), (9, "some other words of a text", 5), (3, None, 6), (3, None, 6), (4, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int").repartition(3)
+    out = ngram_join.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["_row"] for r in out.collect()) == [1, 2, 5, 6, 6, 7]
+    assert ngram_join.drop_near_duplicates(empty).count() == 0
+    named = spark.createDataFrame([("b", text), ("a", near), (None, "")], "doc_id string, text string")
+    assert {r["id"]: r["component_id"] for r in ngram_join.near_duplicates(named).collect()} == {"b": "a", "a": "a", None: None}
+
+
 @pytest.mark.parametrize("seed", range(200))
 def test_prefixes_lose_no_pair(seed):
     """Whatever numbers of matches two similar sets choose, their prefixes share the smaller one."""
