@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._common import column_function, read, written
+from quillon.llm._common import column_function, int_lists, read, written
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.line_dedup import dedup_lines
-from quillon.llm.ngram_join import near_duplicates
+from quillon.llm.ngram_join import drop_near_duplicates
 from quillon.llm.quality import accepted, score_quality
 from quillon.llm.tokens import encoder, token_bytes
 
@@ -36,10 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five words, 0.8) the document of least id."""
-    found = near_duplicates(docs)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near-duplicates (five words, 0.8) one row: that of least id."""
+    return drop_near_duplicates(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +54,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def state() -> tuple:
         return encoder(), token_bytes()
 
-    def run(own: tuple, texts: list) -> list[dict]:
+    def run(own: tuple, texts: list) -> pa.Array:
         coder, table = own
-        ids = [x.tolist() for x in coder.encode([t or "" for t in texts])]
-        return [{"ids": x, "decoded": hashlib.sha256(b"".join([table[i] for i in x])).hexdigest()} for x in ids]
+        ids = coder.encode([t or "" for t in texts])
+        decoded = [hashlib.sha256(b"".join([table[i] for i in x.tolist()])).hexdigest() for x in ids]
+        return pa.StructArray.from_arrays([int_lists(ids), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     coded = docs.select("doc_id", "lang", "source", column_function(run, "struct<ids:array<int>,decoded:string>", state)("text").alias("t"))
     return coded.select("doc_id", "lang", "source", F.size("t.ids").cast("bigint").alias("n_tokens"), F.col("t.ids").alias("ids"), F.col("t.decoded").alias("decoded_sha256"))

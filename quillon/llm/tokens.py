@@ -16,12 +16,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, map_columns, read
+from ._common import int_lists, keyed, kind_of, map_columns, read
 
 #: The vocabulary file; a name of the public tokenizers or a path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Strings whose ids a worker remembers in the newer and in the older half of its memory.
-REMEMBERED = 120_000
+#: Strings whose ids a worker remembers in the newer and in the older half of its memory, some 250 bytes each.
+REMEMBERED = 60_000
 #: Longer strings are never remembered.
 REMEMBERED_LENGTH = 40
 
@@ -258,9 +258,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
 
     def run(own: Encoder, x: dict) -> dict:
-        return {"id": x["id"], "ids": own.encode([t or "" for t in x["text"]])}
+        return {"id": x["id"], "ids": int_lists(own.encode([t or "" for t in x["text"]]))}
 
-    return map_columns(keyed(docs, id_col, text_col), run, "id bigint, ids array<int>", lambda: encoder(vocabulary))
+    rows = keyed(docs, id_col, text_col)
+    return map_columns(rows, run, f"id {kind_of(rows, 'id')}, ids array<int>", lambda: encoder(vocabulary))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -269,7 +270,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(table: list[bytes], x: dict) -> dict:
         return {"id": x["id"], "data": [b"".join([table[i] for i in ids or ()]) for ids in x["ids"]]}
 
-    return map_columns(encoded.select("id", "ids"), run, "id bigint, data binary", lambda: token_bytes(vocabulary))
+    return map_columns(encoded.select("id", "ids"), run, f"id {kind_of(encoded, 'id')}, data binary", lambda: token_bytes(vocabulary))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
