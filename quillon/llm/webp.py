@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
 import zlib
+from collections.abc import Callable, Sequence
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, map_columns, read
+from ._common import keyed, kind_of, map_columns, read
 
 #: Fixed values of the format: the order in which code length codes are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -35,7 +39,12 @@ class Bits:
     """Reads bits, least significant first; beyond the end they are zero."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.word, self.held = data, 0, 0, 0
+        self.data = data
+        self.seek(0)
+
+    def seek(self, position: int) -> None:
+        self.at, self.word, self.held = position >> 3, 0, 0
+        self.read(position & 7)
 
     def fill(self) -> None:
         self.word |= int.from_bytes(self.data[self.at : self.at + 8].ljust(8, b"\0"), "little") << self.held
@@ -54,107 +63,344 @@ class Bits:
     def position(self) -> int:
         return self.at * 8 - self.held
 
+    def check(self) -> None:
+        if self.position > 8 * len(self.data):
+            raise ValueError("the image data are cut short")
+
+
+@lru_cache(maxsize=16)
+def _reversed(width: int) -> np.ndarray:
+    """All numbers of ``width`` bits with their bits in reverse."""
+    out = np.zeros(1, np.intp)
+    for _ in range(width):
+        out = np.concatenate((2 * out, 2 * out + 1))
+    return out
+
 
 class PrefixCode:
-    """A canonical prefix code as one table, indexed by the next ``width`` bits."""
+    """A canonical prefix code as two tables, symbol and size, indexed by the next ``width`` bits."""
 
     def __init__(self, lengths: list[int] | np.ndarray):
         lengths = np.asarray(lengths)
-        self.used = np.flatnonzero(lengths)
-        sizes = lengths[self.used]
-        if len(self.used) < 2:  # a single symbol takes no bits
-            self.width, self.table = 0, [(int(self.used[0]) if len(self.used) else 0, 0)]
-            return
-        if (2.0 ** -sizes).sum() != 1:
-            raise ValueError("a prefix code isn't complete")
-        self.width = int(sizes.max())
-        self.table = [(0, 0)] * (1 << self.width)
-        code, last = 0, 0
-        for size, symbol in sorted(zip(sizes.tolist(), self.used.tolist(), strict=True)):
-            code <<= size - last
-            last = size
-            entry, start = (symbol, size), int(f"{code:0{size}b}"[::-1], 2)
-            for i in range(start, 1 << self.width, 1 << size):
-                self.table[i] = entry
-            code += 1
+        used = lengths.nonzero()[0]
+        sizes = lengths[used]
+        if len(used) < 2:  # a single symbol takes no bits
+            self.width = 0
+            self.symbol, self.size = np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.int32)
+        else:
+            self.width = int(sizes.max())
+            order = np.argsort(sizes, kind="stable")
+            spans = 1 << (self.width - sizes[order])
+            if spans.sum() != 1 << self.width:
+                raise ValueError("a prefix code isn't complete")
+            back = _reversed(self.width)
+            self.symbol = np.repeat(used[order].astype(np.int32), spans)[back]
+            self.size = np.repeat(sizes[order].astype(np.int32), spans)[back]
+        self.mask = np.uint32((1 << self.width) - 1)
+
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int]]:
+        """Both tables, for reading one by one."""
+        return self.symbol.tolist(), self.size.tolist()
 
     def read(self, bits: Bits) -> int:
         if bits.held < self.width:
             bits.fill()
-        symbol, size = self.table[bits.word & ((1 << self.width) - 1)]
+        at = bits.word & ((1 << self.width) - 1)
+        size = self.lists[1][at]
         bits.word >>= size
         bits.held -= size
-        return symbol
+        return self.lists[0][at]
 
-    @property
-    def flat(self) -> bool:
-        """Whether all symbols have ``width`` bits."""
-        return len(self.used) == 1 << self.width or self.width == 0
+
+@lru_cache(maxsize=512)
+def _single(symbol: int) -> PrefixCode:
+    return PrefixCode([0] * symbol + [1])
 
 
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
-    lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        second = bits.read(8) if two else first
+        if max(first, second) >= alphabet:
+            raise ValueError("a prefix code has a symbol too many")
+        if first == second:
+            return _single(first)
+        lengths = [0] * alphabet
+        lengths[first] = lengths[second] = 1
         return PrefixCode(lengths)
+    lengths = [0] * alphabet
     of_lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
-    code = PrefixCode(of_lengths)
+    code = _lengths_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, previous = 0, 8
+    symbols, sizes, mask = *code.lists, (1 << code.width) - 1
+    at, previous, word, held = 0, 8, bits.word, bits.held
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        if held < 16:
+            bits.word, bits.held = word, held
+            bits.fill()
+            word, held = bits.word, bits.held
+        symbol, size = symbols[word & mask], sizes[word & mask]
+        word >>= size
+        held -= size
         if symbol < 16:
             lengths[at] = symbol
             at += 1
             previous = symbol or previous
             continue
-        value, extra, base = {16: (previous, 2, 3), 17: (0, 3, 3), 18: (0, 7, 11)}[symbol]
-        n = base + bits.read(extra)
+        value, extra, n = (previous, 2, 3) if symbol == 16 else (0, 3, 3) if symbol == 17 else (0, 7, 11)
+        n += word & ((1 << extra) - 1)
+        word >>= extra
+        held -= extra
         if at + n > alphabet:
             raise ValueError("code lengths run over")
         lengths[at : at + n] = [value] * n
         at += n
+    bits.word, bits.held = word, held
+    return PrefixCode(lengths)
+
+
+@lru_cache(maxsize=64)
+def _lengths_code(lengths: tuple[int, ...]) -> PrefixCode:
     return PrefixCode(lengths)
 
 
-def _span(bits: Bits, code: int) -> int:
-    """A length or distance code's value, from 1."""
-    if code < 4:
-        return code + 1
-    extra = (code - 2) >> 1
-    return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
-
-
-def _flat_pixels(bits: Bits, group: list[PrefixCode], n: int) -> np.ndarray:
-    """Pixels whose literals all have one bit length by channel: sliced from the bits at once."""
-    widths = [c.width for c in group[:4]]
-    each, start = sum(widths), bits.position
-    out = np.zeros(n, np.uint32)
-    data = np.frombuffer(bits.data, np.uint8)
-    step = 1 << 16
-    for first in range(0, n, step):
-        count = min(step, n - first)
-        begin = start + first * each
-        raw = np.unpackbits(data[begin >> 3 : (begin + count * each + 7) >> 3], bitorder="little")[begin & 7 :][: count * each].reshape(count, each)
-        at = 0
-        for code, width, shift in zip(group, widths, (8, 16, 0, 24), strict=False):
-            index = np.zeros(count, np.intp)
-            for k in range(at, at + width):
-                index = (index << 1) | raw[:, k]
-            at += width
-            out[first : first + count] |= code.used.astype(np.uint32)[index] << np.uint32(shift) if len(code.used) else np.uint32(0)
-    end = start + n * each
-    bits.at, bits.word, bits.held = end >> 3, 0, 0
-    bits.read(end & 7)
+#: Of each length or distance code, how many extra bits follow and the value without them.
+_EXTRA = np.array([0 if c < 4 else (c - 2) >> 1 for c in range(40)], np.int32)
+_LEAST = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(40)], np.int32)
+_MASK = np.array([(1 << n) - 1 for n in range(19)], np.uint32)
+#: Bytes of a stream that are looked up at once.
+SEGMENT = 1 << 14
+
+
+class _Segment:
+    """A stretch of a stream: the bits that follow each of its bit positions, and where each symbol there would end."""
+
+    def __init__(self, data: bytes, first: int, groups: list[list[PrefixCode]]):
+        piece = data[first : first + SEGMENT]
+        self.limit = 8 * len(piece) if first + SEGMENT < len(data) else 8 * len(piece) + 64
+        raw = np.frombuffer(data[first : first + SEGMENT + 16].ljust(len(piece) + 28, b"\0"), np.uint8).astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        self.bits = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        self.groups, self.steps = groups, {}
+
+    def look(self, code: PrefixCode, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols at some positions, and the positions after them."""
+        if not code.width:
+            return np.broadcast_to(code.symbol, at.shape), at
+        index = self.bits[at] & code.mask
+        return code.symbol[index], at + code.size[index]
+
+    def span(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of length or distance codes whose extra bits are at some positions, and the positions after them."""
+        extra = _EXTRA[code]
+        return _LEAST[code] + (self.bits[at] & _MASK[extra]).astype(np.int32), at + extra
+
+    def step(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """From each position under a group's codes: the next symbol's position, and the pixels that this one gives.
+
+        Positions from ``limit`` on lead to themselves.
+        """
+        if g not in self.steps:
+            green, red, blue, alpha, distance = self.groups[g]
+            symbol, end = self.look(green, np.arange(self.limit, dtype=np.int32))
+            after = end
+            for code in (red, blue, alpha):
+                if code.width:
+                    after = self.look(code, after)[1]
+            run = np.ones(self.limit, np.int32)
+            if (special := (symbol >= 256).nonzero()[0]).size:
+                after = after.copy() if after is end else after
+                after[special] = end[special]
+                back = special[symbol[special] < 280]
+                run[back], at = self.span(symbol[back] - 256, end[back])
+                code, at = self.look(distance, at)
+                after[back] = at + _EXTRA[code]
+            self.steps[g] = np.concatenate((after, np.arange(self.limit, self.limit + 80, dtype=np.int32))), run
+        return self.steps[g]
+
+    def follow(self, at: int, n: int) -> tuple[np.ndarray, int, int]:
+        """Positions of the symbols from ``at`` on that give ``n`` pixels, or stand before the limit; where they end; their pixels.
+
+        Eight steps are looked up at once, so that the chain is followed in strides.
+        """
+        one, run = self.step(0)
+        two = one[one]
+        four = two[two]
+        eight = four[four].data
+        strides = []
+        while at < self.limit:
+            strides.append(at)
+            at = eight[at]
+        places = np.array(strides, np.int32)
+        for jump in (four, two, one):
+            places = np.stack((places, jump[places]), axis=1).ravel()
+        places = places[: places.searchsorted(self.limit)]
+        upto = run[places].cumsum()
+        last = int(upto.searchsorted(n))
+        if last < len(places):
+            return places[: last + 1], int(one[places[last]]), int(upto[last])
+        return places, int(one[places[-1]]), int(upto[-1])
+
+    def read(self, g: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of symbols at some positions: the green symbol; the pixel, cache index or distance code; the pixels that it gives."""
+        green, red, blue, alpha, distance = self.groups[g]
+        symbol, end = self.look(green, at)
+        value = np.maximum(symbol - 280, 0).astype(np.uint32)
+        run = np.ones(len(at), np.int32)
+        plain = (symbol < 256).nonzero()[0]
+        r, after = self.look(red, end[plain])
+        b, after = self.look(blue, after)
+        a, _ = self.look(alpha, after)
+        value[plain] = a.astype(np.uint32) << np.uint32(24) | r.astype(np.uint32) << np.uint32(16) | symbol[plain].astype(np.uint32) << np.uint32(8) | b.astype(np.uint32)
+        if (back := ((symbol >= 256) & (symbol < 280)).nonzero()[0]).size:
+            run[back], after = self.span(symbol[back] - 256, end[back])
+            code, after = self.look(distance, after)
+            value[back] = self.span(code, after)[0]
+        return symbol, value, run
+
+
+@lru_cache(maxsize=16)
+def _near(width: int) -> np.ndarray:
+    """Distances in pixels of the 120 codes for near pixels."""
+    return np.array([0, *(max(1, dx + dy * width) for dx, dy in NEAR)], np.int64)
+
+
+def _root(to: np.ndarray) -> np.ndarray:
+    """Where each place's references end, by doubling."""
+    while not np.array_equal(further := to[to], to):
+        to = further
+    return to
+
+
+def _hash(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)
+
+
+def _place(out: np.ndarray, start: int, symbol: np.ndarray, value: np.ndarray, run: np.ndarray, width: int, cache: np.ndarray, cache_bits: int) -> int:
+    """Write the pixels that some symbols give from ``start`` on; where they end.
+
+    Literals are placed at once, then stretches are copied in order.  With a
+    cache, references and cache codes are pointers to earlier pixels, all followed
+    at once; ``cache`` holds the colours before ``start`` and is brought up to date.
+    """
+    first = np.cumsum(run) - run
+    n = int(run.sum())
+    pixels = np.zeros(n, np.uint32)
+    to = np.arange(n) if cache_bits else None
+    plain = symbol < 256
+    pixels[first[plain]] = value[plain]
+    back = ((symbol >= 256) & (symbol < 280)).nonzero()[0]
+    if len(back):
+        far = value[back].astype(np.int64)
+        far = np.where(far > 120, far - 120, _near(width)[np.minimum(far, 120)])
+        if (far > start + first[back]).any() or start + n > len(out):
+            raise ValueError("a back-reference leaves the image")
+        if not cache_bits:
+            out[start : start + n] = pixels
+            view = out.data
+            for i, d, m in zip((start + first[back]).tolist(), far.tolist(), run[back].tolist(), strict=True):
+                while m > d:  # the copy meets itself: what stands there doubles
+                    view[i : i + d] = view[i - d : i]
+                    i, m, d = i + d, m - d, 2 * d
+                view[i : i + m] = view[i - d : i - d + m]
+            return start + n
+        each = run[back]
+        place = np.arange(int(each.sum())) + np.repeat(first[back] - (np.cumsum(each) - each), each)
+        source = place - np.repeat(far, each)
+        inside = source >= 0
+        to[place[inside]] = source[inside]
+        pixels[place[~inside]] = out[start + source[~inside]]
+        to = _root(to)
+    if cache_bits:
+        coded = first[symbol >= 280]
+        slot = _hash(pixels, cache_bits)
+        slot[coded] = value[symbol >= 280]
+        slot = slot[to]
+        order = np.argsort(slot, kind="stable")
+        same = np.flatnonzero(slot[order[1:]] == slot[order[:-1]])
+        before = np.full(n, -1)
+        before[order[1:][same]] = order[:-1][same]
+        fresh = coded[before[coded] < 0]
+        pixels[fresh] = cache[slot[fresh]]
+        if ((pixels[fresh] == 0) & (slot[fresh] > 0)).any():
+            raise ValueError("a colour cache code before its colour")
+        coded = coded[before[coded] >= 0]
+        link = np.arange(n)
+        link[coded] = to[before[coded]]
+        to = _root(link)[to]
+        pixels = pixels[to]
+        cache[slot] = pixels
+    out[start : start + n] = pixels
+    return start + n
+
+
+def _pixels(bits: Bits, groups: list[list[PrefixCode]], meta: list[int] | None, shift: int, width: int, n: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image: symbols are found by following next positions, then all placed at once."""
+    out, cache = np.zeros(n, np.uint32), np.zeros(1 << cache_bits, np.uint32)
+    green = groups[0][0]
+    if len(groups) == 1 and not green.width and (green.symbol[0] >= 256 or not any(c.width for c in groups[0][1:4])):
+        # No pixel takes a bit: all are the one colour, or what an empty cache holds.
+        if 256 <= green.symbol[0] < 280:
+            raise ValueError("a back-reference leaves the image")
+        if green.symbol[0] < 256:
+            a, r, g, b = (int(groups[0][k].symbol[0]) for k in (3, 1, 0, 2))
+            out[:] = a << 24 | r << 16 | g << 8 | b
+        return out
+    across, i, position = -(-width >> shift), 0, bits.position
+    while i < n:
+        segment = _Segment(bits.data, position >> 3, groups)
+        origin, at, limit, start = position & ~7, position & 7, segment.limit, i
+        places: list[int] | np.ndarray = []
+        owners: list[int] = []
+        if meta is None:
+            places, at, gives = segment.follow(at, n - i)
+            i += gives
+        while i < n and at < limit and meta is not None:
+            y, x = divmod(i, width)
+            g = meta[(y >> shift) * across + (x >> shift)]
+            after, run = segment.step(g)
+            places.append(at)
+            owners.append(g)
+            i += int(run[at])
+            at = int(after[at])
+        position = origin + at
+        if position > 8 * len(bits.data):
+            raise ValueError("the image data are cut short")
+        where = np.asarray(places, np.int32)
+        if meta is None:
+            found = segment.read(0, where)
+        else:
+            found = tuple(np.zeros(len(where), kind) for kind in (np.int32, np.uint32, np.int32))
+            whose = np.array(owners)
+            for g in np.unique(whose).tolist():
+                chosen = whose == g
+                for whole, part in zip(found, segment.read(g, where[chosen]), strict=True):
+                    whole[chosen] = part
+        if found[0].max(initial=0) >= 280 and not cache_bits:
+            raise ValueError("a colour cache code without its cache")
+        if _place(out, start, *found, width, cache, cache_bits) != i or i > n:
+            raise ValueError("a back-reference leaves the image")
+    bits.seek(position)
     return out
 
 
+def _few_pixels(bits: Bits, group: list[PrefixCode], n: int) -> np.ndarray | None:
+    """A small image of literals only, one by one; None where there is another symbol."""
+    green, red, blue, alpha, _ = group
+    out = []
+    for _ in range(n):
+        if (g := green.read(bits)) >= 256:
+            return None
+        r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
+        out.append(a << 24 | r << 16 | g << 8 | b)
+    return np.array(out, np.uint32)
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """An entropy-coded image: ARGB values, row by row."""
     n = width * height
@@ -164,47 +410,19 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     meta, shift = None, 0
     if main and bits.read(1):
         shift = bits.read(3) + 2
-        across = -(-width >> shift)
-        meta = ((read_image(bits, across, -(-height >> shift)) >> 8) & 0xFFFF).tolist()
+        meta = ((read_image(bits, -(-width >> shift), -(-height >> shift)) >> 8) & 0xFFFF).tolist()
     size = 1 << cache_bits if cache_bits else 0
-    groups = [[read_code(bits, a) for a in (280 + size, 256, 256, 256, 40)] for _ in range(max(meta) + 1 if meta else 1)]
-    if meta is None and not size and groups[0][0].used.max(initial=0) < 256 and all(c.flat for c in groups[0][:4]):
-        return _flat_pixels(bits, groups[0], n)
-    out = [0] * n
-    cache, drop = [0] * size, 32 - cache_bits
-    green, red, blue, alpha, distance = groups[0]
-    i = 0
-    while i < n:
-        if meta:
-            y, x = divmod(i, width)
-            green, red, blue, alpha, distance = groups[meta[(y >> shift) * across + (x >> shift)]]
-        s = green.read(bits)
-        if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out[i] = a << 24 | r << 16 | s << 8 | b
-            run = 1
-        elif s < 280:
-            run = _span(bits, s - 256)
-            back = _span(bits, distance.read(bits))
-            if back > 120:
-                back -= 120
-            else:
-                dx, dy = NEAR[back - 1]
-                back = max(1, dx + dy * width)
-            if back > i or i + run > n:
-                raise ValueError("a back-reference leaves the image")
-            for k in range(i, i + run):
-                out[k] = out[k - back]
-        else:
-            if s - 280 >= size:
-                raise ValueError("a colour cache code without its cache")
-            out[i] = cache[s - 280]
-            run = 1
-        if size:
-            for k in range(i, i + run):
-                cache[((out[k] * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> drop] = out[k]
-        i += run
-    return np.array(out, np.uint32)
+    groups = []
+    for _ in range(max(meta) + 1 if meta else 1):
+        groups.append([read_code(bits, a) for a in (280 + size, 256, 256, 256, 40)])
+        bits.check()
+    if meta is None and n <= 256:
+        start = bits.position
+        if (few := _few_pixels(bits, groups[0], n)) is not None:
+            bits.check()
+            return few
+        bits.seek(start)
+    return _pixels(bits, groups, meta, shift, width, n, cache_bits)
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -216,60 +434,58 @@ def _packed(channels: np.ndarray) -> np.ndarray:
     return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
 
 
-def _predict(mode: int, left: list, top: list, top_right: list, top_left: list) -> list:
-    def mean(a: list, b: list) -> list:
-        return [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-
-    def clamp(x: int) -> int:
-        return 0 if x < 0 else 255 if x > 255 else x
-
+def _predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray | int:
+    """A mode's guess from the channels of the pixels to the left, above, above right and above left."""
     if mode == 1:
         return left
     if mode == 2:
         return top
     if mode == 3:
-        return top_right
+        return right
     if mode == 4:
-        return top_left
+        return corner
     if mode == 5:
-        return mean(mean(left, top_right), top)
+        return (((left + right) >> 1) + top) >> 1
     if mode == 6:
-        return mean(left, top_left)
+        return (left + corner) >> 1
     if mode == 7:
-        return mean(left, top)
+        return (left + top) >> 1
     if mode == 8:
-        return mean(top_left, top)
+        return (corner + top) >> 1
     if mode == 9:
-        return mean(top, top_right)
+        return (top + right) >> 1
     if mode == 10:
-        return mean(mean(left, top_left), mean(top, top_right))
-    if mode == 11:  # the plane through the three has left's distance |top - top_left|, and top's |left - top_left|
-        to_left = sum(abs(t - c) for t, c in zip(top, top_left, strict=True))
-        to_top = sum(abs(x - c) for x, c in zip(left, top_left, strict=True))
-        return left if to_left < to_top else top
+        return (((left + corner) >> 1) + ((top + right) >> 1)) >> 1
+    if mode == 11:  # the plane through the three has left's distance |top - corner|, and top's |left - corner|
+        to_left, to_top = np.abs(top - corner).sum(axis=-1, keepdims=True), np.abs(left - corner).sum(axis=-1, keepdims=True)
+        return np.where(to_left < to_top, left, top)
     if mode == 12:
-        return [clamp(x + t - c) for x, t, c in zip(left, top, top_left, strict=True)]
+        return np.clip(left + top - corner, 0, 255)
     if mode == 13:
-        return [clamp(m + int((m - c) / 2)) for m, c in zip(mean(left, top), top_left, strict=True)]
-    return [255, 0, 0, 0]
+        mean = (left + top) >> 1
+        return np.clip(mean + np.trunc((mean - corner) / 2).astype(np.int32), 0, 255)
+    return np.array([255, 0, 0, 0], np.int32)
 
 
 def undo_predictor(argb: np.ndarray, width: int, height: int, shift: int, modes: np.ndarray) -> np.ndarray:
+    """Add the guesses back, wave by wave: pixels of equal x + 2 y need none of each other."""
     across = -(-width >> shift)
-    kinds = ((modes >> 8) & 0xF).tolist()
-    rest = _channels(argb).tolist()
-    for i, pixel in enumerate(rest):
-        y, x = divmod(i, width)
-        if i == 0:
-            guess = [255, 0, 0, 0]
-        elif y == 0:
-            guess = rest[i - 1]
-        elif x == 0:
-            guess = rest[i - width]
-        else:  # right of the last pixel of the row above comes the first of this row
-            guess = _predict(kinds[(y >> shift) * across + (x >> shift)], rest[i - 1], rest[i - width], rest[i - width + 1], rest[i - width - 1])
-        rest[i] = [(p + g) & 0xFF for p, g in zip(pixel, guess, strict=True)]
-    return _packed(np.array(rest, np.int32).reshape(-1, 4))
+    kinds = ((modes >> 8) & 0xF).astype(np.int64)
+    out = _channels(argb)
+    out[0] = (out[0] + (255, 0, 0, 0)) & 0xFF
+    out[1:width] = (np.cumsum(out[:width], axis=0)[1:]) & 0xFF
+    for wave in range(2, width + 2 * height - 2):
+        y = np.arange(max(1, (wave - width + 2) // 2), min(height - 1, wave // 2) + 1)
+        x = wave - 2 * y
+        here = y * width + x
+        # Right of the last pixel of the row above comes the first of this row.
+        left, top, right, corner = out[here - 1], out[here - width], out[here - width + 1], out[here - width - 1]
+        kind = np.where(x == 0, 2, kinds[(y >> shift) * across + (x >> shift)])
+        for mode in np.unique(kind).tolist():
+            own = kind == mode
+            guess = _predict(mode, left[own], top[own], right[own], corner[own])
+            out[here[own]] = (out[here[own]] + guess) & 0xFF
+    return _packed(out)
 
 
 def undo_cross_color(argb: np.ndarray, width: int, height: int, shift: int, elements: np.ndarray) -> np.ndarray:
@@ -285,10 +501,9 @@ def undo_cross_color(argb: np.ndarray, width: int, height: int, shift: int, elem
 
 
 def undo_subtract_green(argb: np.ndarray) -> np.ndarray:
-    c = _channels(argb)
-    c[:, 1] += c[:, 2]
-    c[:, 3] += c[:, 2]
-    return _packed(c)
+    green = (argb >> np.uint32(8)) & np.uint32(0xFF)
+    both = (argb & np.uint32(0xFF00FF)) + green * np.uint32(0x10001)
+    return (argb & np.uint32(0xFF00FF00)) | (both & np.uint32(0xFF00FF))
 
 
 def undo_palette(argb: np.ndarray, width: int, height: int, packing: int, palette: np.ndarray) -> np.ndarray:
@@ -300,8 +515,16 @@ def undo_palette(argb: np.ndarray, width: int, height: int, packing: int, palett
     return table[index]
 
 
-def decode_image(data: bytes) -> tuple[np.ndarray, int]:
-    """The first image in ``data`` as (height, width) ARGB values, and the bytes that it takes."""
+#: Pixels of the largest image that is decoded where no other limit is given.
+MOST_PIXELS = 1 << 26
+
+
+def decode_image(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[np.ndarray, int]:
+    """The first image in ``data`` as (height, width) ARGB values, and the bytes that it takes.
+
+    Raises ValueError for whatever isn't a whole lossless image, and for one of
+    more than ``most_pixels``, before memory is taken for it.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     total = 8 + int.from_bytes(data[4:8], "little")
@@ -315,6 +538,8 @@ def decode_image(data: bytes) -> tuple[np.ndarray, int]:
         raise ValueError("no lossless image")
     bits = Bits(data[at + 9 : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")])
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > most_pixels:
+        raise ValueError(f"the image has more than {most_pixels} pixels")
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
@@ -336,162 +561,400 @@ def decode_image(data: bytes) -> tuple[np.ndarray, int]:
             shift = bits.read(3) + 2
             image = read_image(bits, -(-across >> shift), -(-height >> shift))
             undo.append((undo_cross_color if kind else undo_predictor, (across, height, shift, image)))
+    bits.check()
     pixels = read_image(bits, across, height, main=True)
     for f, args in reversed(undo):
         pixels = f(pixels, *args)
     return pixels.reshape(height, width), total
 
 
-def _code_bits(symbols: np.ndarray, value: list[int]) -> tuple[list[int], np.ndarray]:
-    """Bits that declare a flat prefix code for ``symbols``; the symbols, filled up to a power of two."""
-
-    def put(x: int, n: int) -> None:
-        value.extend((x >> k) & 1 for k in range(n))
-
-    value = []
-    if len(symbols) == 1:
-        put(1, 1), put(0, 1), put(1, 1), put(int(symbols[0]), 8)
-        return value, symbols
-    width = int(len(symbols) - 1).bit_length()
-    if width > 1:
-        spare = np.setdiff1d(np.arange(256), symbols)[: (1 << width) - len(symbols)]
-        symbols = np.union1d(symbols, spare)
-    if width == 1:
-        put(1, 1), put(1, 1), put(1, 1), put(int(symbols[0]), 8), put(int(symbols[1]), 8)
-        return value, symbols
-    stored = max(4, LENGTH_ORDER.index(width) + 1)
-    put(0, 1), put(stored - 4, 4)
-    for k in LENGTH_ORDER[:stored]:
-        put(int(k in (0, width)), 3)
-    last = int(symbols[-1])
-    put(1, 1), put(3, 3), put(last + 1 - 2, 8)  # 2 + 2 * 3 bits tell how many lengths follow
-    flags = np.zeros(last + 1, np.uint8)
-    flags[symbols] = 1
-    value.extend(flags.tolist())
-    return value, symbols
-
-
-def encode_image(rgb: np.ndarray) -> bytes:
-    """A lossless WebP of (height, width, 3) samples, each channel under a flat prefix code.
-
-    A channel's code has as many bits as its number of values needs, so that
-    every pixel starts at a known bit and both ways run over arrays at once.
+class _Out:
+    """Collects bits, least significant first."""
+
+    def __init__(self) -> None:
+        self.value, self.n = 0, 0
+
+    def put(self, x: int, n: int) -> None:
+        self.value |= x << self.n
+        self.n += n
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(self.value.to_bytes((self.n + 7) // 8, "little"), np.uint8), bitorder="little")[: self.n]
+
+
+def _huffman(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code, ``most`` at most; two symbols at least have one where any has a count."""
+    used = counts.nonzero()[0].tolist()
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    weights = counts[used].tolist()
+    while True:
+        heap = [(w, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        up = [0] * (2 * len(used) - 1)
+        for node in range(len(used), 2 * len(used) - 1):
+            x, a = heapq.heappop(heap)
+            y, b = heap[0]
+            up[a] = up[b] = node
+            heapq.heapreplace(heap, (x + y, node))
+        depth = [0] * len(up)
+        for k in range(len(up) - 2, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth) <= most:
+            lengths[used] = depth[: len(used)]
+            return lengths
+        weights = [1 + w // 2 for w in weights]
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code, as it is written; 0 without one, or for a single symbol."""
+    out = np.zeros(len(lengths), np.uint32)
+    used = lengths.nonzero()[0]
+    if len(used) > 1:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        width = int(lengths.max())
+        spans = 1 << (width - lengths[order])
+        out[order] = _reversed(width)[np.cumsum(spans) - spans]
+    return out
+
+
+def _declare(out: _Out, lengths: np.ndarray) -> None:
+    if lengths is _NONE:
+        out.put(1, 4)  # a single symbol, 0
+        return
+    used = lengths.nonzero()[0].tolist() or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        out.put(1, 1), out.put(len(used) - 1, 1), out.put(int(used[0] > 1), 1), out.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) == 2:
+            out.put(used[1], 8)
+        return
+    values = lengths[: used[-1] + 1]
+    plain, at = values.tolist(), 0
+    tokens: list[int] = []  # symbol and, above its five bits, what its extra bits say
+    # Only stretches of zeros are put short.
+    places = values.nonzero()[0]
+    gaps = np.append(places[0], places[1:] - places[:-1] - 1)
+    for k in (gaps >= 3).nonzero()[0].tolist():
+        end, n = int(places[k]), int(gaps[k])
+        tokens += plain[at : end - n]
+        while n >= 3:
+            symbol, least, most = (17, 3, 10) if n <= 10 else (18, 11, 138)
+            tokens.append(symbol | (min(n, most) - least) << 5)
+            n -= min(n, most)
+        at = end - n
+    tokens += plain[at:]
+    wide = next(k for k in range(8) if len(tokens) - 2 < 1 << (2 + 2 * k))
+    out.put(_LENGTHS_DECLARED.value, _LENGTHS_DECLARED.n), out.put(1, 1), out.put(wide, 3), out.put(len(tokens) - 2, 2 + 2 * wide)
+    word, taken = 0, 0
+    for t in tokens:
+        symbol = t & 31
+        word |= (_LENGTHS_CODES[symbol] | (t >> 5) << _LENGTHS_SIZES[symbol]) << taken
+        taken += _LENGTHS_TAKEN[symbol]
+    out.put(word, taken)
+
+
+#: The code that lengths are written in: the sizes of 0 to 15 and of the stretches 16 to 18; 13 to 16 aren't used.
+_LENGTHS_SIZES = (3, 7, 7, 6, 3, 3, 3, 3, 4, 4, 4, 4, 4, 0, 0, 0, 0, 6, 6)
+_LENGTHS_CODES = _codes(np.array(_LENGTHS_SIZES)).tolist()
+_LENGTHS_TAKEN = [size + extra for size, extra in zip(_LENGTHS_SIZES, [0] * 17 + [3, 7], strict=True)]
+_LENGTHS_DECLARED = _Out()
+_LENGTHS_DECLARED.put(0, 1)
+_LENGTHS_DECLARED.put(15, 4)  # all 19 follow
+for _size in (_LENGTHS_SIZES[c] for c in LENGTH_ORDER):
+    _LENGTHS_DECLARED.put(_size, 3)
+
+
+#: Bits of a symbol at most.
+LONGEST = 12
+#: Pixels among which repeats are sought and written at once, and the shortest repeat that is written as one.
+BLOCK = 1 << 18
+SHORTEST = 5
+_PLACE, _PLACES = np.uint64(18), np.arange(BLOCK, dtype=np.uint64)
+
+
+def _repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where repeats start, their lengths and distances: greedy, each against the last place of its first values.
+
+    A repeat goes on as long as the last places do so side by side.
     """
-    height, width, _ = rgb.shape
-    head: list[int] = []
-    for x, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):  # no alpha, version, transforms, cache, meta codes
-        head.extend((x >> k) & 1 for k in range(n))
-    columns = []
-    for channel in (1, 0, 2):
-        samples = rgb[..., channel].ravel()
-        declared, symbols = _code_bits(np.flatnonzero(np.bincount(samples, minlength=256)), [])
-        head += declared
-        if (n := int(len(symbols) - 1).bit_length()) > 0:
-            place = np.zeros(256, np.uint8)
-            place[symbols] = np.arange(len(symbols))
-            columns.append(np.unpackbits(place[samples][:, None], axis=1)[:, 8 - n :])
-    head += [1, 0, 1, *[1] * 8, 1, 0, 0, 0]  # alpha is 255 always; no distances
-    body = np.concatenate([np.array(head, np.uint8), *([np.hstack(columns).ravel()] if columns else [])])
-    data = b"\x2f" + np.packbits(body, bitorder="little").tobytes()
+    n = len(x) - SHORTEST + 1
+    if n < 2:
+        return (np.zeros(0, np.int64),) * 3
+    # The first values and the place in one number, so that one sort brings equal ones together in order.
+    key = x[:n].astype(np.uint64)
+    for k in range(1, SHORTEST):
+        key <<= np.uint64(8)
+        key |= x[k : k + n]
+    key <<= _PLACE
+    key |= _PLACES[:n]
+    key.sort()
+    place = (key & np.uint64(BLOCK - 1)).astype(np.int64)
+    key >>= _PLACE
+    again = (key[1:] == key[:-1]).nonzero()[0]
+    far = np.zeros(n, np.int64)
+    later = place[1:][again]
+    far[later] = later - place[:-1][again]
+    where = far.nonzero()[0]
+    if not len(where):
+        return where, where, where
+    # The last place of a stretch of equal distances ends its repeats.
+    change = far[1:] != far[:-1]
+    ends = np.append(change.nonzero()[0], n - 1)
+    stretch = np.zeros(n, np.int64)
+    change.cumsum(out=stretch[1:])
+    length = np.minimum(ends[stretch[where]] - where + SHORTEST, 4096)
+    # How many of ``where`` come before each place.
+    before = np.zeros(n + SHORTEST, np.int64)
+    (far > 0).cumsum(out=before[1 : n + 1])
+    before[n + 1 :] = before[n]
+    following = before[where + length].tolist()
+    chosen, at = [], 0
+    end = len(following)
+    while at < end:
+        chosen.append(at)
+        at = following[at]
+    starts = where[chosen]
+    return starts, length[chosen], far[starts]
+
+
+def _spans(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length or distance codes of values from 1, the numbers of their extra bits, and those."""
+    code = _LEAST.searchsorted(values, side="right") - 1
+    return code, _EXTRA[code], (values - _LEAST[code]).astype(np.uint32)
+
+
+@lru_cache(maxsize=16)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance in pixels to the least of the 120 codes that means it; 0 for none."""
+    near = _near(width)
+    out = np.zeros(int(near.max()) + 1, np.int64)
+    out[near[:0:-1]] = np.arange(120, 0, -1)
+    return out
+
+
+def _symbols(x: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """A block's values as symbols: green, then of the references the extra bits of lengths, distance codes and theirs."""
+    starts, lengths, back = _repeats(x)
+    green = x.astype(np.int32)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return green, none, none, none, none, none
+    code, n_length, length = _spans(lengths)
+    near = _near_codes(width)
+    short = near[np.minimum(back, len(near) - 1)] * (back < len(near))
+    distance, n_far, far = _spans(np.where(short > 0, short, back + 120))
+    green[starts] = 256 + code
+    edge = np.zeros(len(x) + 1, np.int8)
+    edge[starts + 1] += 1
+    edge[starts + lengths] -= 1  # no two repeats end at one place
+    return green[np.cumsum(edge[:-1]) == 0], n_length, length, distance, n_far, far
+
+
+def _packed_bits(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = sizes.cumsum()
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - (ends - sizes).repeat(sizes)
+    return ((values.repeat(sizes) >> place.astype(np.uint32)) & np.uint32(1)).astype(np.uint8)
+
+
+def _palette(out: _Out, values: np.ndarray, blank: bool) -> int:
+    """Declare a palette of green values, and of a transparent one if ``blank``; how many times entries share a pixel, as a power of two."""
+    entries = len(values) + blank
+    out.put(1, 1), out.put(3, 2), out.put(entries - 1, 8)
+    green = np.diff(np.array([*values, *[0] * blank]), prepend=0) & 255
+    alpha = np.diff(np.array([255] * len(values) + [0] * blank), prepend=0) & 255
+    own = [_huffman(np.bincount(v, minlength=n), LONGEST) for v, n in ((green, 280), (alpha, 256))]
+    out.put(0, 1)
+    for lengths in (own[0], _NONE, _NONE, own[1], _NONE):
+        _declare(out, lengths)
+    codes = [(_codes(v).tolist(), v.tolist() if np.count_nonzero(v) > 1 else [0] * len(v)) for v in own]
+    for g, a in zip(green.tolist(), alpha.tolist(), strict=True):
+        out.put(codes[0][0][g], codes[0][1][g]), out.put(codes[1][0][a], codes[1][1][a])
+    return 3 if entries <= 2 else 2 if entries <= 4 else 1 if entries <= 16 else 0
+
+
+_NONE = np.zeros(256, np.int64)
+_OPAQUE = np.eye(1, 256, 255, dtype=np.int64)[0]
+
+
+def encode_image(samples: np.ndarray, blank: int = 0) -> bytes:
+    """A lossless WebP of (height, width) 8-bit samples as grey pixels; the last ``blank`` are transparent instead.
+
+    Subtract-green leaves one channel.  Where values are few, or some pixels
+    transparent, a palette takes several to a pixel.  Repeats become
+    back-references, and all are written under prefix codes of their counts.  Other
+    transforms and a colour cache don't make one channel shorter, as a literal is
+    one symbol already.
+    """
+    height, width = samples.shape
+    index = samples.ravel()
+    values = np.flatnonzero(np.bincount(index[: len(index) - blank], minlength=256))
+    out = _Out()
+    for x, n in ((width - 1, 14), (height - 1, 14), (int(blank > 0), 1), (0, 3)):
+        out.put(x, n)
+    out.put(1, 1), out.put(2, 2)  # subtract green
+    alpha = _OPAQUE
+    if blank or len(values) <= 16:
+        if len(values) + bool(blank) > 256:
+            raise ValueError("no palette has room for all values and a transparent one")
+        place = np.zeros(256, np.uint8)
+        place[values] = np.arange(len(values))
+        index = place[index]
+        index[len(index) - blank :] = len(values)
+        alpha, packing = _NONE, _palette(out, values, blank > 0)
+        if packing:
+            across = -(-width >> packing)
+            rows = np.zeros((height, across << packing), np.uint8)
+            rows[:, :width] = index.reshape(height, width)
+            index = (rows.reshape(-1, 1 << packing) << (np.arange(1 << packing, dtype=np.uint8) * (8 >> packing))).sum(axis=1, dtype=np.uint8)
+            width = across
+    out.put(0, 1)  # no more transforms
+    out.put(0, 1), out.put(0, 1)  # no cache, no meta codes
+    blocks = [_symbols(index[i : i + BLOCK], width) for i in range(0, len(index), BLOCK)]
+    counts = [sum(np.bincount(block[k], minlength=n) for block in blocks) for k, n in ((0, 280), (3, 40))]
+    lengths = [_huffman(c, LONGEST) for c in counts]
+    for v in (lengths[0], _NONE, _NONE, alpha, lengths[1]):
+        _declare(out, v)
+    greens, distances = _codes(lengths[0]), _codes(lengths[1])
+    sizes = [v if np.count_nonzero(v) > 1 else np.zeros_like(v) for v in lengths]
+    parts, bits = [], out.bits()
+    for symbol, n_length, length, distance, n_far, far in blocks:
+        back = (symbol >= 256).nonzero()[0]
+        # Three more values follow a reference.
+        place = np.arange(len(symbol))
+        if len(back):
+            place[1:] += 3 * (symbol[:-1] >= 256).cumsum()
+        written, taken = np.zeros(len(symbol) + 3 * len(back), np.uint32), np.zeros(len(symbol) + 3 * len(back), np.int64)
+        written[place], taken[place] = greens[symbol], sizes[0][symbol]
+        for k, v, n in ((1, length, n_length), (2, distances[distance], sizes[1][distance]), (3, far, n_far)):
+            written[place[back] + k], taken[place[back] + k] = v, n
+        bits = np.concatenate((bits, _packed_bits(written, taken)))
+        whole = len(bits) & ~7
+        parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+        bits = bits[whole:]
+    data = b"".join([b"\x2f", *parts, np.packbits(bits, bitorder="little").tobytes()])
     chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-#: Samples across a row of a stored payload (64 pixels of three), and samples in one image at most.
+#: Samples across a row of a stored payload, or a multiple of it where the rows would be too many.
 ROW = 192
-PART = ROW * 4096
+#: Samples in one image at most.
+PART = MOST // ROW * ROW * MOST
 
 
 def store(text: str | None) -> bytes:
-    """A text as lossless images, one after the other.
+    """A text as one lossless image of a grey pixel for each byte; null counts as empty.
 
-    Its UTF-8 bytes, with spaces up to a positive multiple of ROW, are the
-    samples; null counts as empty.
+    The samples are its UTF-8 bytes, with spaces up to a positive multiple of
+    ROW.  Rows are as much wider as keeps them to MOST in number; what is left of
+    the last row is transparent then.  A text of over PART bytes (267 million)
+    takes several images, laid end to end.
     """
     raw = (text or "").encode()
     payload = np.frombuffer(raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW)), np.uint8)
-    return b"".join(encode_image(payload[i : i + PART].reshape(-1, ROW // 3, 3)) for i in range(0, len(payload), PART))
+    out = []
+    for i in range(0, len(payload), PART):
+        part = payload[i : i + PART]
+        width = ROW * -(-len(part) // (ROW * MOST))
+        blank = -len(part) % width
+        out.append(encode_image(np.pad(part, (0, blank)).reshape(-1, width), blank))
+    return b"".join(out)
 
 
-def load(media: bytes) -> list[np.ndarray]:
-    """All images of stored media as ARGB arrays."""
+def load(media: bytes, most_pixels: int = MOST_PIXELS) -> list[np.ndarray]:
+    """All images of a cell as ARGB arrays."""
     out, at = [], 0
     while at < len(media):
-        image, n = decode_image(media[at:])
+        image, n = decode_image(media[at:] if at else media, most_pixels)
         out.append(image)
         at += n
     return out
 
 
 def samples(image: np.ndarray) -> np.ndarray:
-    """The R, G, B samples of ARGB values, in order."""
-    return image.astype("<u4").view(np.uint8).reshape(*image.shape, 4)[..., 2::-1]
+    """The samples that ``store`` made an image of: green of the pixels that aren't transparent."""
+    flat = image.ravel()
+    return (flat[flat >> np.uint32(24) == 255] >> np.uint32(8)).astype(np.uint8)
 
 
-def describe(images: list[np.ndarray]) -> str:
-    """Width, height, channel sums, and a 64-bit hash of block brightness."""
-    rgb = np.concatenate([samples(i) for i in images])
-    light = rgb.sum(axis=2, dtype=np.int64)
-    height, width = light.shape
-    rows = np.add.reduceat(light, np.arange(8) * height // 8 if height >= 8 else np.minimum(np.arange(8), height - 1), axis=0)
-    blocks = np.add.reduceat(rows, np.arange(8) * width // 8, axis=1)
-    mark = int("".join("01"[int(b)] for b in (blocks * 64 > blocks.sum()).ravel()), 2)
-    return f"{width}x{height};{','.join(str(int(s)) for s in rgb.sum(axis=(0, 1), dtype=np.int64))};{mark:016x}"
+def describe(payload: np.ndarray) -> str:
+    """Rows of ROW samples: width, height, sum, and a 64-bit hash of block brightness."""
+    light = payload.reshape(-1, ROW)
+    height = len(light)
+    rows = np.add.reduceat(light, np.arange(8) * height // 8 if height >= 8 else np.minimum(np.arange(8), height - 1), axis=0, dtype=np.int64)
+    blocks = np.add.reduceat(rows, np.arange(8) * ROW // 8, axis=1)
+    mark = int.from_bytes(np.packbits(blocks * 64 > blocks.sum()).tobytes(), "big")
+    return f"{ROW}x{height};{light.sum(dtype=np.int64)};{mark:016x}"
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, media``: each row's text as lossless WebP; see ``store``.  Narrow, row by row."""
+    """``id, n_bytes, media``: each row's text and its UTF-8 size, as lossless WebP; see ``store``.  Narrow, row by row."""
 
     def run(_: None, x: dict) -> dict:
-        return {"id": x["id"], "media": [store(t) for t in x["text"]]}
+        return {"id": x["id"], "n_bytes": [len((t or "").encode()) for t in x["text"]], "media": [store(t) for t in x["text"]]}
 
-    return map_columns(keyed(docs, id_col, text_col), run, "id bigint, media binary")
+    rows = keyed(docs, id_col, text_col)
+    return map_columns(rows, run, f"id {kind_of(rows, 'id')}, n_bytes bigint, media binary")
 
 
-def decode_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """``id, width, height, argb, error``: a media column's pixel arrays.
+def map_images(media: DataFrame, fn: Callable[[bytes, list[np.ndarray]], dict], schema: str, keep: Sequence[str] = ("id",), media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """``keep``, the columns of ``schema`` that ``fn`` makes of each cell and its decoded images, and ``error``.
 
-    ``argb`` has a value for each pixel, row by row, of all images in the cell,
-    whose widths must agree.  Null, empty or broken media have null pixels and,
-    where broken, the reason as ``error``; other rows are not affected.
+    Null and empty cells have nulls; broken ones too, and the reason as
+    ``error``.  Other rows are not affected.  Narrow, row by row.
     """
+    names = [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", schema)]
 
     def run(_: None, x: dict) -> dict:
-        out: dict = {"id": x["id"], "width": [], "height": [], "argb": [], "error": []}
+        out: dict = {k: x[k] for k in keep} | {n: [] for n in (*names, "error")}
         for data in x["media"]:
-            row: tuple = (None, None, None, None)
+            row: dict = {}
             try:
-                if data and (images := load(data)):
-                    whole = np.concatenate(images)
-                    row = (whole.shape[1], whole.shape[0], whole.ravel().astype(np.int64), None)
+                if data:
+                    row = fn(data, load(data, most_pixels))
             except (ValueError, IndexError) as e:
-                row = (None, None, None, str(e))
-            for name, v in zip(("width", "height", "argb", "error"), row, strict=True):
-                out[name].append(v)
+                row = {"error": str(e)}
+            for name in (*names, "error"):
+                out[name].append(row.get(name))
         return out
 
+    rows = media.select(*keep, F.col(media_col).alias("media"))
+    kept = "".join(f"{k} {kind_of(rows, k)}, " for k in keep)
+    return map_columns(rows, run, f"{kept}{schema}, error string")
+
+
+def decode_media(media: DataFrame, id_col: str = "id", media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """``id, images, error``: a media column's pixel arrays, an element for each image in a cell.
+
+    An image has its ``width``, ``height`` and ``argb``, a value for each pixel,
+    row by row (alpha in the highest byte; as a signed number).  An image of over
+    ``most_pixels`` is an error.  Null, empty and broken media as in ``map_images``.
+    """
+
+    def whole(_: bytes, images: list[np.ndarray]) -> dict:
+        return {"images": [{"width": i.shape[1], "height": i.shape[0], "argb": i.ravel().view(np.int32)} for i in images]}
+
     source = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return map_columns(source, run, "id bigint, width int, height int, argb array<bigint>, error string")
+    return map_images(source, whole, "images array<struct<width:int,height:int,argb:array<int>>>", most_pixels=most_pixels)
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as lossless WebP and read back from it."""
-    docs = read(spark, sf_dir, "documents")
-
-    def digest(_: None, x: dict) -> dict:
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-        out: dict = {"doc_id": x["id"], "n_bytes": x["n_bytes"]} | {n: [] for n in names}
-        for media in x["media"]:
-            images = load(media)
-            payload = b"".join(samples(i).tobytes() for i in images)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(images))
-            for n, v in zip(names, row, strict=True):
-                out[n].append(v)
-        return out
-
-    def stored(_: None, x: dict) -> dict:
-        return {"id": x["id"], "n_bytes": [len((t or "").encode()) for t in x["text"]], "media": [store(t) for t in x["text"]]}
 
-    media = map_columns(keyed(docs, "doc_id", "text"), stored, "id bigint, n_bytes bigint, media binary")
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_columns(media, digest, schema)
+    def digest(media: bytes, images: list[np.ndarray]) -> dict:
+        payload = np.concatenate([samples(i) for i in images])
+        raw = payload.tobytes()
+        return {
+            "payload_bytes": len(raw),
+            "payload_sha256": hashlib.sha256(raw).hexdigest(),
+            "tail_crc32": zlib.crc32(raw[-16:]),
+            "media_bytes": len(media),
+            "media_sha256": hashlib.sha256(media).hexdigest(),
+            "feature": describe(payload),
+        }
+
+    media = store_media(read(spark, sf_dir, "documents"))
+    schema = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return map_images(media, digest, schema, ("id", "n_bytes"), most_pixels=PART).withColumnRenamed("id", "doc_id").drop("error")

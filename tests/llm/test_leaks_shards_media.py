@@ -1,4 +1,6 @@
+import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,10 +48,23 @@ def test_decontaminate_cuts_spans_and_drops(spark, odd, empty):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(6)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, " ".join(f"w{i}x{j}" for i in (2, 5, 0) for j in range(12)))], "doc_id bigint, text string")
-    one = docs.select(decontaminate.leak_columns(docs, items).alias("x")).first()["x"]
+    one = decontaminate.find_leaks(docs, items).first()["leak"]
+    cut = decontaminate.decontaminate(docs, items, max_coverage=1.0).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    many = docs.select(decontaminate.leak_columns(docs, items).alias("x")).first()["x"]
+    many = decontaminate.find_leaks(docs, items).first()["leak"]
     assert one == many and one["items"] == ["0", "2", "5"]
+    assert decontaminate.decontaminate(docs, items, max_coverage=1.0).collect() == cut
+
+
+def test_an_automaton_takes_few_bytes():
+    rng = random.Random(0)
+    items = [(str(i), " ".join(f"w{int(rng.paretovariate(0.6)) % 50_000}" for _ in range(200))) for i in range(300)]
+    tracemalloc.start()
+    automaton = decontaminate.SuffixAutomaton(items)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < 60 * sum(len(t) for _, t in items)
+    assert automaton.match(decontaminate.words_of("x " + items[7][1] + " y"))[0] == [(1, 201)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 4097])
@@ -164,14 +179,36 @@ def picture(seed, width, height, colours=None):
 
 
 @pytest.mark.parametrize(("cache", "back"), [(0, False), (4, False), (0, True), (6, True)])
-def test_prefix_codes_references_and_cache(cache, back):
-    pixels = picture(1, 7, 9, 5)
+@pytest.mark.parametrize(("width", "height"), [(7, 9), (31, 40)])
+def test_prefix_codes_references_and_cache(monkeypatch, width, height, cache, back):
+    pixels = picture(1, width, height, 5)
+
+    def body(w):
+        w.put(0, 1)
+        w.image(pixels, width, True, cache, back)
+
+    file = Writer().file(width, height, body)
+    assert webp.decode_image(file)[0].ravel().tolist() == pixels
+    monkeypatch.setattr(webp, "SEGMENT", 32)
+    assert webp.decode_image(file)[0].ravel().tolist() == pixels
+
+
+def test_codes_by_tile():
+    width, height, tiles = 20, 12, [0, 1, 1, 0, 1, 0, 0, 1, 1, 1, 0, 0, 0, 1, 0]
+    rng = random.Random(0)
+    pixels = [0xFF000000 | rng.randrange(256) << 16 | rng.randrange(8) << 8 | rng.randrange(256) for _ in range(width * height)]
 
     def body(w):
         w.put(0, 1)
-        w.image(pixels, 7, True, cache, back)
+        w.put(0, 1)  # no cache
+        w.put(1, 1), w.put(0, 3)  # codes by tiles of four
+        w.image([0xFF000000 | t << 8 for t in tiles], 5)
+        groups = [[w.code(g + [0] * 272), w.code([8] * 256), w.code([8] * 256), w.code([0] * 255 + [1]), w.code([0] * 40)] for g in ([3] * 8, [1, 2, 3, 4, 5, 6, 7, 7])]
+        for i, p in enumerate(pixels):
+            own = groups[tiles[i // width // 4 * 5 + i % width // 4]]
+            own[0]((p >> 8) & 255), own[1]((p >> 16) & 255), own[2](p & 255)
 
-    assert webp.decode_image(Writer().file(7, 9, body))[0].ravel().tolist() == pixels
+    assert webp.decode_image(Writer().file(width, height, body))[0].ravel().tolist() == pixels
 
 
 def sub(a, b):
@@ -269,21 +306,78 @@ def test_palettes(colours):
 
 
 def test_texts_come_back_from_images(spark, odd, empty):
-    for text in (None, "", "a", "é" * 5000, "".join(map(chr, range(1, 2000))), "x" * 1_000_000):
+    rng = random.Random(0)
+    prose = " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 7))) for _ in range(400_000))
+    for text in (None, "", "a", "é" * 5000, "".join(map(chr, range(1, 2000))), "x" * 1_000_000, "ab" * 100_000, prose):
         raw = (text or "").encode()
-        back = b"".join(webp.samples(i).tobytes() for i in webp.load(webp.store(text)))
-        assert back == raw.ljust(max(192, -(-len(raw) // 192) * 192)) and len(back) % 192 == 0
+        (image,) = webp.load(webp.store(text))
+        back = webp.samples(image).tobytes()
+        assert back == raw.ljust(max(192, -(-len(raw) // 192) * 192)) and image.shape[1] == 192
+        assert np.array_equal(image.ravel().view(np.uint8).reshape(-1, 4)[:, :3], np.repeat(webp.samples(image), 3).reshape(-1, 3))  # grey
     media = webp.store_media(odd)
-    assert webp.decode_media(media).where("width = 64 and error is null").count() == odd.count()
+    assert webp.decode_media(media).where("size(images) = 1 and images[0].width = 192 and error is null").count() == odd.count()
     assert webp.store_media(empty).count() == 0
 
 
+def test_long_texts_make_wider_images(monkeypatch):
+    monkeypatch.setattr(webp, "MOST", 8)
+    for rows in (8, 9, 33):
+        text = "".join(chr(48 + i % 70) for i in range(rows * 192))
+        (image,) = webp.load(webp.store(text))
+        assert len(image) <= 8 and webp.samples(image).tobytes() == text.encode()
+
+
+def test_each_part_of_the_decoder_runs_for_stored_texts(monkeypatch):
+    """Back-references, prefix codes, subtract-green and palettes are what stored texts are read by."""
+    seen = {"copies": 0, "literals": 0, "green": 0, "palette": 0}
+    place, green, palette = webp._place, webp.undo_subtract_green, webp.undo_palette
+
+    def placing(out, start, symbol, *rest):
+        seen["copies"] += int((symbol >= 256).sum())
+        seen["literals"] += int((symbol < 256).sum())
+        return place(out, start, symbol, *rest)
+
+    def count(name, f):
+        def run(*args):
+            seen[name] += 1
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(webp, "_place", placing)
+    monkeypatch.setattr(webp, "undo_subtract_green", count("green", green))
+    monkeypatch.setattr(webp, "undo_palette", count("palette", palette))
+    for text in ("the cat sat on the mat and the cat sat on the hat, all of the day and the night", "0110" * 200):
+        webp.load(webp.store(text))
+    assert seen["copies"] > 2 and seen["literals"] > 20 and seen["green"] == 2 and seen["palette"] == 1
+
+
+def test_op6_equals_brute_force(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in webp.op6_webp(spark, str(tmp_path)).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = webp.store(r["text"])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_broken_media_are_told(spark):
-    good = webp.store("text")
-    rows = [(1, bytearray(good)), (2, bytearray(good[:40])), (3, None), (4, bytearray(b"RIFFxxxxWEBP"))]
+    good = webp.store("the text of an image, long enough to be cut")
+
+    def with_data(data):
+        chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
+        return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+    data = good[20 : 20 + int.from_bytes(good[16:20], "little")]
+    bomb = with_data(b"\x2f" + b"\xff" * 3 + b"\x0f" + b"\0" * 40)
+    rows = [(1, bytearray(good)), (2, bytearray(good[:40])), (3, None), (4, bytearray(b"RIFFxxxxWEBP")), (5, bytearray(bomb)), (6, bytearray())]
+    rows += [(10 + k, bytearray(with_data(data[:k]))) for k in range(5, len(data) - 1)]  # cut inside the chunk
     out = {r["id"]: r for r in webp.decode_media(spark.createDataFrame(rows, "id bigint, media binary")).collect()}
-    assert out[1]["error"] is None and len(out[1]["argb"]) == 64
-    assert out[2]["error"] and out[4]["error"] and out[3]["argb"] is None and out[3]["error"] is None
+    assert out[1]["error"] is None and len(out[1]["images"][0]["argb"]) == 192
+    assert out[2]["error"] and out[4]["error"] and out[3]["images"] is None and out[3]["error"] is None and out[6]["error"] is None
+    assert "pixels" in out[5]["error"]
+    assert all(out[10 + k]["error"] for k in range(5, len(data) - 1))
 
 
 def test_crc_of_sharded_texts(spark):
@@ -296,8 +390,21 @@ def test_crc_of_sharded_texts(spark):
 def test_places_equal_sql(spark, n):
     import duckdb
 
-    docs = spark.createDataFrame([(i * 3, "x" * i) for i in range(n)], "doc_id bigint, text string")
-    ours = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, ["doc_id"]).collect()}
+    docs = spark.createDataFrame([(i * 3, "é" * i) for i in range(n)], "doc_id bigint, text string")
+    ours = {r["doc_id"]: (zlib.crc32(r["text"].encode()), r["shard"], r["slot"]) for r in sharding.shard(docs, ["doc_id"]).collect()}
     con = duckdb.connect()
-    con.execute(f"CREATE TABLE documents AS SELECT i * 3 AS doc_id, repeat('x', i::INT) AS text FROM range({n}) t(i)")
-    assert {r[0]: (r[3], r[4]) for r in con.execute(sharding.PLACES_SQL).fetchall()} == ours
+    con.execute(f"CREATE TABLE documents AS SELECT i * 3 AS doc_id, repeat('é', i::INT) AS text FROM range({n}) t(i)")
+    assert {r[0]: (r[2], r[4], r[5]) for r in con.execute(sharding.OP7_SQL).fetchall()} == ours
+
+
+def test_sharding_of_ties_nulls_and_clashing_names(spark):
+    rows = [(i % 5 if i % 7 else None, "t", i, f"p{i}", 1) for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _p int, _Place string, _offset int")
+    out = sharding.shard(docs, ["doc_id", "text"], 7)
+    assert out.columns == [*docs.columns, "row_number", "shard", "slot"]
+    found = out.collect()
+    assert sorted(tuple(r)[:5] for r in found if r["doc_id"] is not None) == sorted(r for r in rows if r[0] is not None)
+    assert sorted(r["row_number"] for r in found) == list(range(120)) and {r["doc_id"] for r in found if r["row_number"] < 18} == {None}
+    for k in range(7):
+        slots = sorted(r["slot"] for r in found if r["shard"] == k)
+        assert slots == list(range(len(slots))) and len(slots) in (17, 18)
