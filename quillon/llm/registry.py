@@ -12,7 +12,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .quality import op9_quality
 from .secrets import op5_secrets
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .tokens import op8_bpe
 from .toxicity import op4_toxicity
 from .webp import op6_webp
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_sharding": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, read, written
+from ._common import fresh, partitions, read, written
 
 SHARDS = 16
 ROUNDS = 6
@@ -60,21 +60,21 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataF
     than its range, and the numbers depend on the rows alone.
     """
     spark = df.sparkSession
-    place = "_place"
-    while place in df.columns:
-        place += "_"
+    place, part, offset = fresh(df, "_place", "_part", "_offset")
     placed = written(
         df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()),
         "numbered",
     )
-    part = F.shiftright(place, 33)
+    placed = placed.withColumn(part, F.shiftright(place, 33))
     counts = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for p, c in counts:
-        offsets[p], total = total, total + c
-    table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)]) if offsets else F.create_map(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    number = F.element_at(table, part).cast("bigint") + F.col(place).bitwiseAND((1 << 33) - 1)
-    return placed.withColumn(name, number).drop(place)
+        offsets.append((p, total))
+        total += c
+    # A row for each partition: no more than there are shuffle partitions.
+    table = spark.createDataFrame(offsets, f"{part} bigint, {offset} bigint")
+    number = F.col(offset) + F.col(place).bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(table), part).withColumn(name, number).drop(place, part, offset)
 
 
 def shard(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -96,7 +96,8 @@ def shard(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = 0)
         for x in numbers:
             yield pd.Series(permute(x.to_numpy(), n, seed))
 
-    return rows.withColumn("_p", shuffled("row_number")).withColumns({"shard": (F.col("_p") % shards).cast("int"), "slot": F.floor(F.col("_p") / shards).cast("bigint")}).drop("_p")
+    (p,) = fresh(rows, "_p")
+    return rows.withColumn(p, shuffled("row_number")).withColumns({"shard": (F.col(p) % shards).cast("int"), "slot": F.expr(f"`{p}` div {shards}")}).drop(p)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The permutation again in SQL: one pass over the rounds for each step of the walk."""
+    """The permutation again in SQL: one pass over the rounds for each step of the walk; CRC-32 byte by byte."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    crc = f"[{', '.join(map(str, table))}]"
     wrap = f"CAST({2**64} AS UHUGEINT)"
     source = "SELECT i, n, bits, k, v >> bits AS l, v & mask AS r, mask FROM walk WHERE k = 0 OR v >= n"
     for key in round_keys(0):
@@ -123,18 +130,20 @@ def _sql() -> str:
         source = f"SELECT i, n, bits, k, mask, l, xor(old, xor(x, x >> CAST(29 AS UBIGINT)) & mask) AS r FROM ({source})"
     return f"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, text, (SELECT count(*) FROM documents) AS n FROM documents
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, (SELECT count(*) FROM documents) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, size, n, xor(list_reduce(list_transform(range(0, size), lambda k: CASE WHEN k = 0 THEN 4294967295 ELSE CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT) END),
+    lambda c, b: xor(c >> 8, ({crc})[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS text_crc32 FROM sized
 ), numbered AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS UBIGINT) AS bits FROM sized
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS i, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS UBIGINT) AS bits FROM summed
 ), walk AS (
   SELECT i, CAST(n AS UBIGINT) AS n, bits, 0 AS k, CAST(i AS UBIGINT) AS v, (CAST(1 AS UBIGINT) << bits) - CAST(1 AS UBIGINT) AS mask FROM numbered
   UNION ALL
   SELECT i, n, bits, k + 1, (l << bits) | r, mask FROM ({source})
 ), done AS (SELECT i, v FROM walk WHERE k > 0 AND v < n)
-SELECT doc_id, size, 'rows' AS law, CAST(v % {SHARDS} AS INT) AS shard, CAST(v // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {SHARDS} AS INT) AS shard, CAST(v // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM numbered JOIN done USING (i)
 """
 
 
-#: Without ``text_crc32``, which DuckDB has no function for.
-PLACES_SQL = _sql()
+OP7_SQL = _sql()
