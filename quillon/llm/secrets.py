@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import keyed, map_columns, read
+from ._common import keyed, kind_of, map_columns, read
 from .tokens import VOCABULARY, reference_encoding
 
 #: Fixed patterns of the contract: kind, pattern, its group and that group's least length.
@@ -34,8 +34,11 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"[A-Za-z]*[0-9]*(?:[_/=+-]+[A-Za-z]*[0-9]*)*")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Words in one case (a capital may lead) with separators between them and the rest.
+_HEAD = re.compile(r"\A(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})[=/_-]+")
+_TAIL = re.compile(r"[=/_-]+(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})\Z")
 
-SPANS = "id bigint, spans array<struct<kind:string,start:int,end:int>>"
+SPANS = "spans array<struct<kind:string,start:int,end:int>>"
 
 
 def known(candidate: str) -> bool:
@@ -78,16 +81,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def left_over(start: int, end: int, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What sorted spans leave over of a stretch."""
-    for s, _, e, _ in spans:
-        if s >= end:
-            break
-        if s > start:
-            yield start, s
-        start = max(start, e)
-    if start < end:
-        yield start, end
+def without_words(text: str, start: int, end: int, encoding: tiktoken.Encoding, ratio: float = RATIO) -> tuple[int, int]:
+    """A random stretch without the words at its ends, as long as what is left is random and long enough."""
+    for edge in (_HEAD, _TAIL):
+        while m := edge.search(text[start:end]):
+            first, last = (start + m.end(), end) if edge is _HEAD else (start, start + m.start())
+            if last - first < LEAST or not random_like(text[first:last], encoding, ratio):
+                break
+            start, end = first, last
+    return start, end
 
 
 def random_parts(text: str, start: int, end: int, encoding: tiktoken.Encoding, ratio: float = RATIO, parts: tuple[re.Pattern, ...] = PARTS) -> Iterator[tuple[int, int]]:
@@ -99,27 +101,24 @@ def random_parts(text: str, start: int, end: int, encoding: tiktoken.Encoding, r
     if end - start < LEAST:
         return
     if random_like(text[start:end], encoding, ratio):
-        yield start, end
+        yield without_words(text, start, end, encoding, ratio)
     elif parts:
         for m in parts[0].finditer(text, start, end):
             yield from random_parts(text, m.start(), m.end(), encoding, ratio, parts[1:])
 
 
 def scan(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, int, str]]:
-    """All spans of a text: the base ones, and random strings in what they leave over of candidates."""
-    out = base_spans(text)
-    more = []
-    for m in CANDIDATE.finditer(text):
-        for start, end in left_over(m.start(), m.end(), out):
-            more += [(s, len(BASE), e, "random") for s, e in random_parts(text, start, end, encoding, ratio)]
-    return sorted(out + more) if more else out
+    """All spans of a text: the base ones, and the random strings, each found apart from the other."""
+    more = [(s, len(BASE), e, "random") for m in CANDIDATE.finditer(text) for s, e in random_parts(text, m.start(), m.end(), encoding, ratio)]
+    return sorted(base_spans(text) + more)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, vocabulary: str = VOCABULARY) -> DataFrame:
-    """SPANS' columns, a row for each row: kind, start and end (exclusive) in code points.
+    """``id, spans``, a row for each row: kind, start and end (exclusive) in code points.
 
     Null and empty texts have no spans.  Spans are sorted by start, then kind as
-    in KINDS; base kinds may overlap each other, ``random`` overlaps none.
+    in KINDS.  Spans of one kind are apart, those of different kinds may overlap:
+    ``random`` also tells which base spans hold random strings.
     Repeated rows each get their own result; an empty table gives an empty one.
     """
 
@@ -127,7 +126,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = [[{"kind": k, "start": s, "end": e} for s, _, e, k in scan(t, encoding, ratio)] if t else [] for t in x["text"]]
         return {"id": x["id"], "spans": spans}
 
-    return map_columns(keyed(docs, id_col, text_col), run, SPANS, lambda: reference_encoding(vocabulary))
+    rows = keyed(docs, id_col, text_col)
+    return map_columns(rows, run, f"id {kind_of(rows, 'id')}, {SPANS}", lambda: reference_encoding(vocabulary))
 
 
 def redact(text: str, spans: list[dict]) -> str:
