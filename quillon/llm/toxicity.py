@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import keyed, map_columns, read
+from ._common import keyed, kind_of, map_columns, read
 
 #: Labelled rows of each class that may be gathered for training, and UTF-8 bytes of them.
 SAMPLE_ROWS = 4_000
@@ -26,20 +26,20 @@ _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 @dataclass
 class Settings:
-    #: Bytes of a window at least; windows end at a word's end.
-    window: int = 64
-    #: Bytes of the two dictionaries.
+    #: Bytes of a window at least; windows end at a word's end.  Shorter ones often don't compress at all.
+    window: int = 96
+    #: Bytes of the two dictionaries, the toxic one's before it is pruned.
     ordinary_bytes: int = 32_768
-    toxic_bytes: int = 8_192
-    #: Windows of ordinary text, drawn at random, that the ordinary dictionary is trained on at most.
-    ordinary_windows: int = 40_000
-    #: Length of the stretches by which toxic text is told from ordinary text for training.
+    toxic_bytes: int = 32_768
+    #: Windows, drawn at random, that a dictionary is trained on at most.
+    training_windows: int = 40_000
+    #: Length of the stretches by which the toxic dictionary is pruned.
     gram: int = 6
     #: Toxic texts that a stretch must be in, and how many times its share of ordinary texts.
     least_texts: int = 5
     least_ratio: float = 20.0
-    level: int = 3
-    min_match: int = 6
+    level: int = 6
+    min_match: int = 5
     seed: int = 0
 
 
@@ -135,14 +135,42 @@ def _dictionary(size: int, samples: list[bytes], k: int, d: int, level: int) ->
         return b"".join(dict.fromkeys(samples))[-size:] or b" "
 
 
+def _grams(word: bytes, size: int) -> set[bytes]:
+    return {word[i : i + size] for i in range(len(word) - size + 1)}
+
+
+def _pruned(trained: bytes, toxic: list[str | None], ordinary: list[str | None], s: Settings) -> bytes:
+    """A dictionary trained on toxic text without what ordinary text has as well.
+
+    Such text has mostly ordinary words, whose chance matches would drown the gains
+    of the others.  Of each word in the dictionary the stretch stays whose ends are
+    in ``least_ratio`` times the share of toxic texts that ordinary ones have them in.
+    """
+    words = [b" " + w + b" " for w in dict.fromkeys(_WORD.findall(trained))]
+    known: set[bytes] = set().union(*(_grams(w, s.gram) for w in words))
+
+    def texts_with(texts: list[str | None]) -> Counter:
+        return Counter(g for t in texts for g in set().union(*(_grams(w + b" ", s.gram) for w in set(words_of(t)))) & known)
+
+    in_toxic, in_ordinary = texts_with(toxic), texts_with(ordinary)
+    marked = {g for g, c in in_toxic.items() if c >= min(s.least_texts, len(toxic)) and c / len(toxic) >= s.least_ratio * (in_ordinary[g] + 0.5) / len(ordinary)}
+    kept = []
+    for word in words:
+        places = [i for i in range(len(word) - s.gram + 1) if word[i : i + s.gram] in marked]
+        if places:
+            kept.append(word[places[0] : places[-1] + s.gram])
+    whole = [k for k in dict.fromkeys(kept) if not any(k != other and k in other for other in kept)]
+    return b"".join(whole) or b" "
+
+
 def train(rows: list[tuple[str | None, int]], ratio: float = 1.0, settings: Settings | None = None) -> Model:
     """Dictionaries from two thirds of the labelled texts, calibration from the others.
 
     ``ratio``: how many ordinary rows there are to a toxic one where scores are used.
 
-    The toxic dictionary is trained on those stretches of toxic texts that
-    ordinary texts lack.  Without both classes every score is the share of toxic
-    labels (0 without any).
+    The toxic dictionary is trained on windows of toxic texts, and loses what
+    ordinary texts have too.  Without both classes every score is the share of
+    toxic labels (0 without any).
     """
     s = settings or Settings()
     shuffled = list(rows)
@@ -155,24 +183,14 @@ def train(rows: list[tuple[str | None, int]], ratio: float = 1.0, settings: Sett
     cut = {True: 2 * len(toxic) // 3, False: 2 * len(ordinary) // 3}
     learn_toxic, learn_ordinary = toxic[: cut[True]], ordinary[: cut[False]]
 
-    def grams(text: str | None) -> set[bytes]:
-        return {w[i : i + s.gram] for w in {w + b" " for w in words_of(text)} for i in range(len(w) - s.gram + 1)}
-
-    in_toxic = Counter(g for t in learn_toxic for g in grams(t))
-    frequent = {g for g, c in in_toxic.items() if c >= min(s.least_texts, len(learn_toxic))}
-    in_ordinary = Counter(g for t in learn_ordinary for g in grams(t) & frequent)
-    marked = {g for g in frequent if in_toxic[g] / len(learn_toxic) >= s.least_ratio * (in_ordinary[g] + 0.5) / len(learn_ordinary)}
-    stretches = []
-    for text in learn_toxic:
-        for word in words_of(text):
-            padded = word + b" "
-            places = [i for i in range(len(padded) - s.gram + 1) if padded[i : i + s.gram] in marked]
-            if places:
-                stretches.append(padded[places[0] : places[-1] + s.gram])
-    random.Random(s.seed).shuffle(stretches)
-    common = [w for t in learn_ordinary for w in windows_of(t, s.window)]
-    random.Random(s.seed).shuffle(common)
-    model = Model(_dictionary(s.ordinary_bytes, common[: s.ordinary_windows], 64, 8, s.level), _dictionary(s.toxic_bytes, stretches, 16, 6, s.level), s)
+    def drawn(texts: list[str | None]) -> list[bytes]:
+        found = [w for t in texts for w in windows_of(t, s.window)]
+        random.Random(s.seed).shuffle(found)
+        return found[: s.training_windows]
+
+    # The dictionaries, each trained on windows of its class.
+    model = Model(_dictionary(s.ordinary_bytes, drawn(learn_ordinary), 64, 8, s.level), _dictionary(s.toxic_bytes, drawn(learn_toxic), 16, 6, s.level), s)
+    model.toxic = _pruned(model.toxic, learn_toxic, learn_ordinary, s)
     compressors = model.compressors()
     held = [(t, 1) for t in toxic[cut[True] :]] + [(t, 0) for t in ordinary[cut[False] :]]
     x = np.array([model.features(t, compressors) for t, _ in held])
@@ -190,10 +208,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """At most ``rows`` labelled texts of each class and ``total_bytes`` in all; how many ordinary rows there are to a toxic one.
 
     The rows of least hash of the id; ids and labels choose them before any text
-    is gathered.  Each class has half of the bytes; a text that no longer fits is
+    is gathered.  An id with several labels counts once, as toxic if any says so.  Each class has half of the bytes; a text that no longer fits is
     skipped.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col) > 0).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     texts = keyed(docs, id_col, text_col).join(F.broadcast(parts[0].unionByName(parts[1])), "id").select("id", "y", "text")
@@ -227,7 +245,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model, compressors = own
         return {"id": x["id"], "score": [model.score(model.features(t, compressors)) for t in x["text"]]}
 
-    return map_columns(keyed(docs, id_col, text_col), run, "id bigint, score double", state)
+    rows = keyed(docs, id_col, text_col)
+    return map_columns(rows, run, f"id {kind_of(rows, 'id')}, score double", state)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

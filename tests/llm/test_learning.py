@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -32,6 +33,43 @@ def test_toxicity_held_out():
     assert 0 <= model.score(model.features(None, both)) < 0.7 and model.score(model.features("", both)) == model.score(model.features(None, both))
 
 
+def test_the_toxic_dictionary_is_trained_on_toxic_text_and_loses_the_rest():
+    rows = corpus(600)
+    model = toxicity.train([(t, y) for _, t, y in rows], 2.0)
+    assert all(w.encode() in model.toxic for w in BAD)
+    assert not set(model.toxic.split()) - {w.encode() for w in BAD}
+
+
+def test_a_trained_toxicity_model_takes_odd_rows(spark, odd):
+    rows = [(1000 + i, t, y) for i, t, y in corpus(300)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1000, 0), (1001, None), (None, 1)], "doc_id bigint, toxic int")
+    out = toxicity.score_toxicity(docs, labels).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
+    scores = {}
+    for r in out:
+        scores.setdefault(r["id"], set()).add(r["score"])
+    assert scores[1] == scores[2] and scores[3] == scores[4] and all(len(s) == 1 for s in scores.values())
+    assert all(min(scores[i]) < 0.7 for i in (1, 3, 5, 6, 7, 8, None))
+    assert sum((min(scores[i]) >= 0.7) == bool(y) for i, _, y in rows) > 280
+
+
+def test_op4_never_learns_from_held_out_labels(spark, tmp_path):
+    rows = corpus(240, 3)
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    found = []
+    for k, flip in enumerate((False, True)):
+        path = f"{tmp_path}/{k}"
+        spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+        labels = [(i, int(bool(y) != (flip and i in held))) for i, _, y in rows]
+        spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{path}/labels.parquet")
+        found.append({r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in toxicity.op4_toxicity(spark, path).collect()})
+    assert found[0] == found[1] and {i for i, r in found[0].items() if r[0]} == held
+    assert all(r[2] == int(r[1] >= 0.7) for r in found[0].values())
+    truth = {i: y for i, _, y in rows}
+    assert sum(found[0][i][2] == truth[i] for i in held) >= 0.9 * len(held)
+
+
 def test_windows_cover_whole_texts():
     text = "Some words, and more; " * 400
     assert b"".join(w[:-1] for w in toxicity.windows_of(text, 64)) == b"".join(toxicity.words_of(text))
