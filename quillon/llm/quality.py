@@ -13,18 +13,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column_function, read
+from ._common import column_function, kind_of, map_columns, read, remove, written
 from .toxicity import logistic
 
-#: Rows that may be gathered to fit: labelled ones of each class, and unlabelled ones; and UTF-8 bytes of each lot.
+#: Labelled rows of each class that may be gathered to fit, and UTF-8 bytes of their texts.
 SAMPLE_ROWS = 3_000
-POOL_ROWS = 3_000
 SAMPLE_BYTES = 20_000_000
-#: Rounds of co-training, and pseudo-labels of each class that a view gives the other in a round.
+#: Rounds of co-training, and pseudo-labels that a view gives the other in a round.
 ROUNDS = 5
-GIVEN = 150
-#: How sure a view must be of a pseudo-label.
-SURE = 0.97
+GIVEN = 300
+#: How sure a view must be of a pseudo-label, after calibration.
+SURE = 0.95
 #: Documents whose score is lower are rejected.
 REJECT_BELOW = 0.3
 
@@ -121,45 +120,137 @@ class Model:
         return probability(own[0]), probability(own[1]), probability(self.combined[0] + self.combined[1] * own[0] + self.combined[2] * own[1])
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], weight: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN, sure: float = SURE) -> Model:
+#: A view's offer to the other: each row's key, label and features in the other view.
+Gift = tuple[object, float, np.ndarray]
+
+
+def _calibrated(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Offset and slope from logits of rows that weren't learnt from; a view that tells nothing gets a slope of 0.
+
+    The targets lie inside 0 and 1 by the number of rows, so that few rows make no
+    view sure.
+    """
+    good, bad = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    out = logistic(logit[:, None], target, weight, ridge=1e-4)
+    if out[1] > 0:
+        return out
+    share = float(weight @ target / weight.sum())
+    return np.array([math.log(share / (1 - share)), 0.0])
+
+
+def _fit(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, given: tuple[list[Gift], list[Gift]]) -> tuple[Model, float]:
+    """Both views on the labelled rows and what they were given; calibrated and combined on logits across folds; their loss."""
+    fold = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 3
+    views, calibration, own = [], [], []
+    for x, gifts in zip(labelled, given, strict=True):
+        extra = np.array([g[2] for g in gifts]).reshape(len(gifts), x.shape[1])
+        said, less = np.array([g[1] for g in gifts]), np.full(len(gifts), 0.5 * weight.mean())
+
+        def learnt(rows: np.ndarray, x: np.ndarray = x, extra: np.ndarray = extra, said: np.ndarray = said, less: np.ndarray = less) -> View:
+            return View.fit(np.vstack([x[rows], extra]), np.concatenate([y[rows], said]), np.concatenate([weight[rows], less]))
+
+        logit = np.zeros(len(y))
+        for k in range(3):
+            logit[fold == k] = learnt(fold != k).logit(x[fold == k])
+        views.append(learnt(np.ones(len(y), bool)))
+        calibration.append(_calibrated(logit, y, weight))
+        own.append(calibration[-1][0] + calibration[-1][1] * logit)
+    both = np.column_stack(own)
+    combined = logistic(both, y, weight, ridge=1e-3)
+    p = np.clip(probability(combined[0] + both @ combined[1:]), 1e-9, 1 - 1e-9)
+    loss = -float(weight @ (y * np.log(p) + (1 - y) * np.log(1 - p)) / weight.sum())
+    return Model(tuple(views), tuple(calibration), combined), loss
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, seek: Callable[[Model, tuple[set, set], tuple[int, int]], tuple[list[Gift], list[Gift]]], weight: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
     """Fit both views, letting each teach the other.
 
-    Each round fits both views; of the pool's rows each view picks the ones that
-    it is surest of, ``given`` of either class at most and ``sure`` at least, and
-    they join the other view's rows with those labels.  A third of the labelled
-    rows (every third of each class) only calibrates and combines the views.
+    Each round each view picks, by ``seek``, the unlabelled rows that it is surest
+    of, ``given`` at most in the classes' shares, and they join the other view's
+    rows with those labels.  How sure a view is, is measured on labelled rows that
+    it hasn't learnt from, so one that tells nothing gives nothing; and a round
+    after which the combined views tell those rows worse is taken back and ends
+    the exchange.
     """
-    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) - 1
-    held = place % 3 == 2
-    learn = ~held
-    x = [v[learn] for v in labelled]
-    labels = [y[learn], y[learn]]
-    weights = [weight[learn], weight[learn]]
-    left = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]  # rows that a view has not been given
-    views = tuple(View.fit(x[v], labels[v], weights[v]) for v in (0, 1))
-    for _ in range(rounds if len(pool[0]) else 0):
-        gifts = []
-        for v in (0, 1):
-            p, other = probability(views[v].logit(pool[v])), 1 - v
-            chosen = []
-            for label, certainty in ((1, p), (0, 1 - p)):
-                order = np.argsort(-certainty, kind="stable")
-                chosen += [(i, label) for i in order[(certainty[order] >= sure) & left[other][order]][:given]]
-            gifts.append((other, chosen))
-        if not any(chosen for _, chosen in gifts):
+    gifts: tuple[list[Gift], list[Gift]] = ([], [])
+    model, loss = _fit(labelled, y, weight, gifts)
+    good = float(weight @ y / weight.sum())
+    wanted = (max(1, round(given * (1 - good))), max(1, round(given * good)))
+    for _ in range(rounds):
+        new = seek(model, tuple({g[0] for g in own} for own in gifts), wanted)
+        if not any(new):
             break
-        for other, chosen in gifts:
-            if chosen:
-                rows = np.array([i for i, _ in chosen])
-                left[other][rows] = False
-                x[other] = np.vstack([x[other], pool[other][rows]])
-                labels[other] = np.concatenate([labels[other], [label for _, label in chosen]])
-                weights[other] = np.concatenate([weights[other], np.full(len(rows), 0.5 * weight.mean())])
-        views = tuple(View.fit(x[v], labels[v], weights[v]) for v in (0, 1))
-    logits = [v.logit(f[held]) for v, f in zip(views, labelled, strict=True)]
-    calibration = tuple(logistic(z[:, None], y[held], weight[held], ridge=1e-4) for z in logits)
-    own = np.column_stack([c[0] + c[1] * z for c, z in zip(calibration, logits, strict=True)])
-    return Model(views, calibration, logistic(own, y[held], weight[held], ridge=1e-4))
+        more = tuple(own + extra for own, extra in zip(gifts, new, strict=True))
+        changed, now = _fit(labelled, y, weight, more)
+        if now > loss:
+            break
+        model, loss, gifts = changed, now, more
+    return model
+
+
+def surest(model: Model, keys: list, x: tuple[np.ndarray, np.ndarray], taken: tuple[set, set], wanted: tuple[int, int], sure: float = SURE) -> list[tuple[int, int, float, int]]:
+    """Of some rows the surest of each view and label: (who is given it, label, certainty, place), at most ``wanted`` by label; ties by key."""
+    out = []
+    for v in (0, 1):
+        c = model.calibration[v]
+        if c[1] <= 0:
+            continue
+        p, other = probability(c[0] + c[1] * model.views[v].logit(x[v])), 1 - v
+        for label in (0, 1):
+            certainty = p if label else 1 - p
+            rows = [i for i in (certainty >= sure).nonzero()[0].tolist() if keys[i] not in taken[other]]
+            rows.sort(key=lambda i: (-certainty[i], zlib.crc32(str(keys[i]).encode()), str(keys[i])))
+            out += [(other, label, float(certainty[i]), i) for i in rows[: wanted[label]]]
+    return out
+
+
+def among(keys: list, x: tuple[np.ndarray, np.ndarray]) -> Callable[..., tuple[list[Gift], list[Gift]]]:
+    """``seek`` over rows at hand."""
+
+    def seek(model: Model, taken: tuple[set, set], wanted: tuple[int, int]) -> tuple[list[Gift], list[Gift]]:
+        out: tuple[list[Gift], list[Gift]] = ([], [])
+        for other, label, _, i in surest(model, keys, x, taken, wanted):
+            out[other].append((keys[i], float(label), x[other][i]))
+        return out
+
+    return seek
+
+
+def over(pool: DataFrame) -> Callable[..., tuple[list[Gift], list[Gift]]]:
+    """``seek`` over all rows of ``pool(id, content, metadata)``.
+
+    Each slice of rows keeps the surest of its own, at most as many as are wanted;
+    only the surest of all come to the driver.
+    """
+    spark = pool.sparkSession
+    schema = f"id {kind_of(pool, 'id')}, other int, label int, certainty double, features array<float>"
+
+    def seek(model: Model, taken: tuple[set, set], wanted: tuple[int, int]) -> tuple[list[Gift], list[Gift]]:
+        sent = spark.sparkContext.broadcast((model, taken))
+
+        def best(own: tuple, rows: dict) -> dict:
+            views = tuple(np.array(rows[c], np.float64).reshape(len(rows["id"]), -1) for c in ("content", "metadata"))
+            found = surest(own[0], rows["id"], views, own[1], wanted)
+            return {
+                "id": [rows["id"][i] for *_, i in found],
+                "other": [other for other, *_ in found],
+                "label": [label for _, label, _, _ in found],
+                "certainty": [c for _, _, c, _ in found],
+                "features": [views[other][i].tolist() for other, _, _, i in found],
+            }
+
+        found = written(map_columns(pool.select("id", "content", "metadata"), best, schema, lambda: sent.value), "offers")
+        out: tuple[list[Gift], list[Gift]] = ([], [])
+        for other in (0, 1):
+            for label in (0, 1):
+                top = found.where((F.col("other") == other) & (F.col("label") == label)).dropDuplicates(["id"])
+                for r in top.orderBy(F.desc("certainty"), F.crc32(F.col("id").cast("string").cast("binary")), "id").limit(wanted[label]).collect():
+                    out[other].append((r["id"], float(label), np.array(r["features"])))
+        remove(spark, found)
+        return out
+
+    return seek
 
 
 def _constant(share: float) -> Model:
@@ -168,14 +259,19 @@ def _constant(share: float) -> Model:
     return Model((view, view), (flat, flat), np.array([math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | float | None:
-    """A model from bounded samples: the rows of least hash of the id.
+def _features(text: list, lang: list, source: list, length: list) -> list[dict]:
+    return [{"content": content_features(t), "metadata": metadata_features(*m)} for t, *m in zip(text, lang, source, length, strict=True)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, rounds: int = ROUNDS) -> Model | float | None:
+    """A model from a bounded sample of labelled rows and from all unlabelled ones.
 
-    Labelled rows: ``sample_rows`` of each class; unlabelled rows for co-training:
-    ``pool_rows``; ``sample_bytes`` of text in each of the three lots, of which a
-    text that no longer fits is skipped.  Where a
-    class has fewer than six rows, or ``docs`` has fewer of them, the share of good
-    labels is returned instead, None without any label.
+    Labelled: ``sample_rows`` of each class, of least hash of the id, and
+    ``sample_bytes`` of text of each, of which a text that no longer fits is
+    skipped.  Unlabelled: the features of all rows are written once, and each round
+    seeks pseudo-labels among all of them.  Where a class has fewer than six rows,
+    or ``docs`` has fewer of them, the share of good labels is returned instead,
+    None without any label.
     """
     lang, source, length = meta_cols
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(length).cast("double").alias("length")).where("id is not null")
@@ -185,9 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return counts.get(1, 0) / sum(counts.values()) if counts else None
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (0, 1)]
     # Ids alone decide which rows are gathered; their texts come after.
-    pool = rows.select("id").join(known, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool_rows).distinct().withColumn("y", F.lit(2))
-    found = rows.join(F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(pool)), "id").select("id", "y", "text", "lang", "source", "length")
-    lots: dict[int, list] = {0: [], 1: [], 2: []}
+    found = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("id", "y", "text", "lang", "source", "length")
+    lots: dict[int, list] = {0: [], 1: []}
     left = {y: sample_bytes for y in lots}
     for doc, y, text, *meta in found.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).toLocalIterator():
         size = len((text or "").encode())
@@ -196,17 +291,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lots[y].append((zlib.crc32(str(doc).encode()), doc, content_features(text), metadata_features(*meta)))
     for lot in lots.values():
         lot.sort()
-    if min(len(lots[0]), len(lots[1])) < 6:
+    if min(map(len, lots.values())) < 6:
         return counts[1] / sum(counts.values())
-    width = (len(content_features(None)), len(metadata_features(None, None, None)))
-    both = [[np.array([r[2 + v] for r in lots[y]]).reshape(-1, width[v]) for v in (0, 1)] for y in (0, 1, 2)]
+    both = [[np.array([r[2 + v] for r in lots[y]]) for v in (0, 1)] for y in (0, 1)]
     y = np.concatenate([np.zeros(len(lots[0])), np.ones(len(lots[1]))])
-    order = np.argsort(np.concatenate([np.arange(len(lots[0])) / max(1, len(lots[0])), np.arange(len(lots[1])) / max(1, len(lots[1]))]), kind="stable")
     # Classes were gathered up to equal numbers; weights bring back their shares.
-    weight = np.where(y == 1, counts[1] / max(1, len(lots[1])), counts[0] / max(1, len(lots[0])))
+    weight = np.where(y == 1, counts[1] / len(lots[1]), counts[0] / len(lots[0]))
     weight /= weight.mean()
-    labelled = tuple(np.vstack([both[0][v], both[1][v]])[order] for v in (0, 1))
-    return co_train(labelled, y[order], tuple(both[2]), weight[order])
+    labelled = tuple(np.vstack([both[0][v], both[1][v]]) for v in (0, 1))
+    features = rows.select("id", column_function(lambda _, *x: _features(*x), "struct<content:array<float>,metadata:array<float>>", lambda: None)("text", "lang", "source", "length").alias("f"))
+    pool = written(features.select("id", "f.content", "f.metadata").join(known.select("id"), "id", "left_anti"), "features")
+    model = co_train(labelled, y, over(pool), weight, rounds)
+    remove(docs.sparkSession, pool)
+    return model
 
 
 def _score_rows(model: Model | float | None, text: list, lang: list, source: list, length: list) -> list[dict]:
