@@ -31,13 +31,13 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc, version, lo, hi, content, mark``: the least runs of ``min_words`` words or more.
+    """``doc, version, lo, hi, mark, at, left, right``: the least runs of ``min_words`` words or more.
 
     One window goes forward from each line and one back from each line, as far as
-    the lines that it needs.  ``content`` is a hash of its lines in order;
-    ``mark`` is the window minimum, its fingerprint: the least line hash and
-    where it is.  A run that stands in two places has equal windows in both, and
-    so equal minima at equal distances.
+    the lines that it needs.  ``mark`` is the window's minimum, its fingerprint: the
+    least line hash, which is at position ``at``.  ``left`` and ``right`` are hashes
+    of the lines before it, and of it and those behind it.  A run that stands in
+    two places has equal windows in both, and so equal minima at equal distances.
     """
     own = Window.partitionBy("doc", "version")
     # Rows of one text and id are one document, whose lines count once.
@@ -57,8 +57,16 @@ def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     both = rows.select("doc", "version", window(ahead).alias("f"), window(back).alias("b"))
     each = both.select("doc", "version", F.explode(F.array("f", "b")).alias("w")).where(F.col("w.words") >= min_words)
+    place = F.array_position("w.lines", F.col("w.mark.line")).cast("int")
     return each.select(
-        "doc", "version", "w.lo", "w.hi", F.struct(F.xxhash64("w.lines").alias("a"), F.xxhash64(F.lit(1), "w.lines").alias("b")).alias("content"), F.col("w.mark.line").alias("mark"), F.col("w.mark.pos").alias("mark_pos")
+        "doc",
+        "version",
+        "w.lo",
+        "w.hi",
+        F.col("w.mark.line").alias("mark"),
+        F.col("w.mark.pos").alias("at"),
+        F.xxhash64(F.slice("w.lines", F.lit(1), place - 1)).alias("left"),
+        F.xxhash64(F.slice("w.lines", place, F.size("w.lines"))).alias("right"),
     )
 
 
@@ -67,18 +75,27 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A line belongs to a run if some stretch of lines around it has ``min_words``
     words or more and stands earlier: in a document of lower id (then lower text
-    hash), or higher up in its own.  Fingerprints that are selected at one place
-    only rule out their windows; the other windows join the first place of their
-    content, and the windows that match, forward and back from each line, are
-    joined to maximal runs.
+    hash), or higher up in its own.
+
+    Fingerprints that are selected at one place only go, with their windows.  The
+    others' positions join: each with the first position of the same fingerprint
+    from which the same lines extend to the left and to the right.  Windows reach
+    out from their fingerprint to every extent that just has ``min_words`` words, so
+    those that match, put together, are the match extended both ways line by line,
+    against all earlier positions, without a row for each pair of positions.
+    Nothing but single rows meets by fingerprint, so a join splits a frequent one.
     """
     spark = docs.sparkSession
     lines = written(line_table(docs, id_col, text_col), "lines")
-    every = windows(lines, min_words)
-    marks = every.groupBy("mark").agg(F.min(F.struct("doc", "version", "mark_pos")).alias("x"), F.max(F.struct("doc", "version", "mark_pos")).alias("y")).where("x <> y").select("mark")
-    candidates = written(every.join(marks, "mark", "left_semi").select("doc", "version", "lo", "hi", "content"), "windows")
-    first = candidates.groupBy("content").agg(F.min(F.struct("doc", "version", "lo")).alias("x"), F.max(F.struct("doc", "version", "lo")).alias("y")).where("x <> y").select("content", "x")
-    later = candidates.join(first, "content").where(F.struct("doc", "version", "lo") > F.col("x")).select("doc", "version", "lo", "hi")
+    every = written(windows(lines, min_words), "windows")
+    remove(spark, lines)
+    position, start = F.struct("doc", "version", "at"), F.struct("doc", "version", "lo")
+    marks = written(every.groupBy("mark").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x <> y").select("mark"), "marks")
+    candidates = written(every.join(marks, "mark", "left_semi"), "candidates")
+    remove(spark, every)
+    match = ["mark", "left", "right"]
+    firsts = written(candidates.groupBy(*match).agg(F.min(start).alias("x"), F.max(start).alias("y")).where("x <> y").select(*match, "x"), "firsts")
+    later = candidates.join(firsts, match).where(start > F.col("x")).select("doc", "version", "lo", "hi")
     own = Window.partitionBy("doc", "version").orderBy("lo", "hi")
     reached = F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = (
@@ -90,8 +107,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     )
     out = written(islands, "runs")
-    remove(spark, lines)
-    remove(spark, candidates)
+    for table in (marks, candidates, firsts):
+        remove(spark, table)
     return out
 
 
@@ -110,8 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"there is a column {runs_col}; give another runs_col")
     runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc").alias(runs_doc), F.col("version").alias(runs_version), F.col("runs").alias(runs_col))
     left = docs.withColumns(dict(zip((doc, version), _owner(id_col, text_col), strict=True)))
-    # Always by sorting: texts are moved at every size, whether or not the runs are few.
-    joined = left.join(runs.hint("merge"), (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
+    joined = left.join(runs, (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.exists(F.col(runs_col), lambda r: i.between(r["lo"], r["hi"])))
     return joined.withColumn(text_col, F.when(F.col(runs_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, runs_col)
 
