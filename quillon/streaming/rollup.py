@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+
 
 def pairs(events: DataFrame) -> DataFrame:
     """``gene, cell``: what each event says is expressed; once each."""
@@ -15,13 +18,19 @@ def pairs(events: DataFrame) -> DataFrame:
 
 
 def expressed_shares(spark: SparkSession, path: str) -> DataFrame:
-    """``gene, pct`` after all that stands under ``path`` has streamed through a deduplicating state."""
+    """``gene, pct`` after all that stands under ``path`` has streamed through a deduplicating state.
+
+    The stream's pairs are written to the shared checkpoint folder, like its
+    progress.  The state has an entry for each pair, as many as the result counts:
+    which users ever did what, so that no watermark may forget one.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    table = f"pairs_{uuid.uuid4().hex}"
-    query = pairs(stream).writeStream.outputMode("append").format("memory").queryName(table).trigger(availableNow=True).start()
+    out = os.path.join(shared_folder(spark), f"pairs-{uuid.uuid4().hex}")
+    kept = pairs(stream)
+    query = kept.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out)
     query.awaitTermination()
-    found = spark.table(table)
+    found = spark.read.schema(kept.schema).parquet(out)
     n = found.select("cell").distinct().count()
     return found.groupBy("gene").agg((F.count("*") / F.lit(n)).alias("pct"))
