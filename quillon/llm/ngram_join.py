@@ -25,6 +25,9 @@ VERIFY = 10
 LONG_LIST = 64
 #: Sets on each side of a block in which sets of long lists are compared.
 BLOCK = 512
+#: Bytes of text whose tokens make a bucket, which a worker holds as a whole; buckets at most.
+BUCKET_BYTES = 64_000_000
+MOST_BUCKETS = 1 << 24
 #: Distinct sets that a task remembers so as not to send copies.
 SEEN = 500_000
 
@@ -111,7 +114,7 @@ def _send(size: int, buckets: int) -> Callable[[set, dict], list[dict]]:
             return []
         flat = np.concatenate(tokens)
         node, count = np.repeat(np.array(nodes, np.int64), sizes), np.repeat(np.array(sizes, np.int32), sizes)
-        bucket = ((flat >> np.uint64(48)) % np.uint64(buckets)).astype(np.int32)
+        bucket = ((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((node, bucket))
         flat, node, count, bucket = flat[order] & _LOW, node[order], count[order], bucket[order]
         return [{"bucket": b, **chunk, "tokens": _pack(flat[s])} for b, s, chunk in _chunks(bucket, node, count)]
@@ -235,7 +238,8 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
     joins anything is lost.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(partitions(spark), min(MOST_BUCKETS, math.ceil(size / BUCKET_BYTES)))
     send = _send(shingle, buckets)
     fields = [f.split()[0] for f in _CHUNK.split(", ")]
 
