@@ -12,6 +12,10 @@ from ..functions import kernels
 from ..model import Dataset
 
 
+#: Cells whose covariates may be in every task.
+MOST_CELLS = 5_000_000
+
+
 def is_normalised(expr: DataFrame) -> DataFrame:
     """One row: whether any value isn't integral."""
     return expr.agg(F.coalesce(F.max((F.col("value") % 1 != 0).cast("int")), F.lit(0)).cast("boolean").alias("normalised"))
@@ -82,28 +86,31 @@ def factor_residuals(data: Dataset, factor: str = "sample") -> DataFrame:
     return level.select("gene", "cell", (F.col("value") - F.sum("value").over(own) / F.col("n")).alias("value"))
 
 
-def residuals(data: Dataset, covariates: Sequence[str], model: str = "linear", use_counts: bool = False) -> DataFrame:
-    """``gene, cell, value`` dense: residuals of each gene on columns of ``cells``.
+def residuals(data: Dataset, covariates: Sequence[str], model: str = "linear", use_counts: bool = False, features: DataFrame | None = None) -> DataFrame:
+    """``gene, cell, value`` dense: residuals of each gene on columns of ``cells``; of ``features(gene)`` only, if given.
 
     ``linear``: least squares with intercept; string columns are factors.
     ``poisson``: Pearson residuals, then log1p of the distance to the gene's
     least one (also for linear with ``use_counts``).  One gene at a time is in a
-    task, with the covariates, which every task has: their size is that of
-    ``cells``.
+    task, with the covariates of all cells, which are broadcast: over MOST_CELLS
+    cells it raises (``factor_residuals`` has no such limit).
     """
     if model not in ("linear", "poisson", "negbinom"):
         raise ValueError(f"{model} is no model; linear and poisson are")
     if model == "negbinom":
         raise NotImplementedError("negbinom has no fit")
+    if data.n_cells() > MOST_CELLS:
+        raise ValueError(f"there are over {MOST_CELLS} cells, whose covariates every task would hold")
     frame = data.cells.select("cell", "ord", *covariates).orderBy("ord").toPandas()
-    design = kernels.design(frame[list(covariates)])
-    order = {c: i for i, c in enumerate(frame["cell"])}
-    cells = frame["cell"].to_numpy()
+    sent = data.cells.sparkSession.sparkContext.broadcast((frame["cell"].to_numpy(), kernels.design(frame[list(covariates)])))
+    expr = data.expr if features is None else data.expr.join(features.select("gene").distinct(), "gene", "left_semi")
     shift = use_counts or model == "poisson"
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        cells, design = sent.value
+        order = {c: i for i, c in enumerate(cells)}
         y = kernels.dense(rows["cell"], rows["value"], order)
         out = kernels.linear_residuals(design, y) if model == "linear" else kernels.poisson_residuals(design, y)
         return pd.DataFrame({"gene": rows["gene"].iloc[0], "cell": cells, "value": kernels.shifted(out) if shift else out})
 
-    return data.expr.groupBy("gene").applyInPandas(fit, f"gene string, cell {data.expr.schema['cell'].dataType.simpleString()}, value double")
+    return expr.groupBy("gene").applyInPandas(fit, f"gene string, cell {data.expr.schema['cell'].dataType.simpleString()}, value double")

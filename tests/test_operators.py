@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,8 +162,6 @@ def test_erfc(spark):
 
 
 def test_rank_sums_equal_the_kernel(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x, inside = rng.integers(0, 4, (12, 40)).astype(float), np.arange(40) % 3
     values = spark.createDataFrame([(f"g{g:02d}", c, float(x[g, c])) for g in range(12) for c in range(40)], "gene string, cell bigint, value double")
@@ -213,6 +212,12 @@ def test_residual_models(spark):
     assert sparse == pytest.approx({0: -1, 1: 1, 3: 2})
     shifted = {r["cell"]: r["value"] for r in normalize.residuals(data, ["sample"], "poisson").collect()}
     assert min(shifted.values()) == 0 and shifted[3] == pytest.approx(math.log1p(4 / math.sqrt(2)), abs=1e-5)
+    two = Dataset(data.expr, data.cells.withColumn("depth", F.col("cell").cast("double")))
+    both = {r["cell"]: r["value"] for r in normalize.residuals(two, ["sample", "depth"]).collect()}
+    design = np.array([[1, 0, 0], [1, 0, 1], [1, 1, 2], [1, 1, 3]], float)
+    y = np.array([1.0, 3.0, 0.0, 4.0])
+    assert [both[i] for i in range(4)] == pytest.approx((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]).tolist(), abs=1e-9)
+    assert normalize.residuals(two, ["depth"], features=spark.createDataFrame([("none",)], "gene string")).isEmpty()
     with pytest.raises(NotImplementedError):
         normalize.residuals(data, ["sample"], "negbinom")
     with pytest.raises(ValueError):
