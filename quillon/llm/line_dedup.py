@@ -119,7 +119,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends; blank lines have no words, and go where they lie inside a run.  Of a
     run that repeats itself in place the first period stays.  A text all of
     whose lines go becomes empty; a null or empty one stays.  Rows equal in id
-    and text are one document and stay equal.  Null ids count as the lowest id.
+    and text are one document and stay equal.  Ids are whole numbers (or texts of
+    them; others raise); null ids count as the lowest.
     Ranges are null where nothing was cut.  An empty table gives an empty one.
     """
     doc, version, runs_doc, runs_version = fresh(docs, "_doc", "_version", "_runs_doc", "_runs_version")
@@ -127,7 +128,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"there is a column {runs_col}; give another runs_col")
     runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc").alias(runs_doc), F.col("version").alias(runs_version), F.col("runs").alias(runs_col))
     left = docs.withColumns(dict(zip((doc, version), _owner(id_col, text_col), strict=True)))
-    joined = left.join(runs, (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
+    # The runs grow with the data and have no bound, so they are never broadcast.
+    joined = left.join(runs.hint("merge"), (F.col(doc) == F.col(runs_doc)) & (F.col(version) == F.col(runs_version)), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.exists(F.col(runs_col), lambda r: i.between(r["lo"], r["hi"])))
     return joined.withColumn(text_col, F.when(F.col(runs_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, runs_col)
 
