@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_columns, read
+from ._common import kind_of, map_columns, read
 from .tokens import VOCABULARY, reference_encoding, token_bytes
 
 #: What marks turns here or in common templates; never left unescaped in a text or role.
@@ -21,7 +21,7 @@ _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_REST})")
 #: The stuffed backslashes stand between a control string's first character and the rest.
 _UNESCAPE = re.compile(rf"([<\[])(\\*)\\(?={_REST})")
 
-FORMATTED = "conv_id bigint, formatted string, ids array<int>, loss array<struct<first:int,last:int,skip:int,drop:int>>"
+FORMATTED = "formatted string, ids array<int>, loss array<struct<first:int,last:int,skip:int,drop:int>>"
 
 
 def escape(text: str) -> str:
@@ -86,7 +86,7 @@ def mask(ends: np.ndarray, spans: list[tuple[int, int]]) -> list[dict[str, int]]
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """FORMATTED's columns: each conversation rendered, encoded once, with its loss mask.
+    """``conv_id`` and FORMATTED's columns: each conversation rendered, encoded once, with its loss mask.
 
     Turns stand in the order of turn, then role, then text; repeated rows stay
     as turns of their own.  Null roles and texts count as empty, null turns come
@@ -114,7 +114,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             out["loss"].append(mask(np.cumsum(lengths[ids]), spans))
         return out
 
-    return map_columns(whole, run, FORMATTED, state)
+    return map_columns(whole, run, f"conv_id {kind_of(whole, 'conv_id')}, {FORMATTED}", state)
 
 
 def loss_texts(table: list[bytes], ids: list[int], loss: list[dict[str, int]]) -> list[str]:

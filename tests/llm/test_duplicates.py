@@ -140,7 +140,27 @@ def test_line_dedup_of_odd_rows(odd, empty):
         line_dedup.dedup_lines(odd, runs_col="score")
 
 
-def test_line_dedup_runs_no_python(spark, odd):
-    plan = line_dedup.windows(line_dedup.line_table(odd))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
-    assert odd.select(F.col("doc_id")).count() == 10
+def test_line_dedup_runs_no_python(spark, odd, monkeypatch):
+    """Neither in what is written on the way nor in the result."""
+    plans, write = [], line_dedup.written
+
+    def writing(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", writing)
+    out = line_dedup.dedup_lines(odd, min_words=5)
+    plans.append(out._jdf.queryExecution().toString())
+    assert len(plans) == 7 and not any(word in plan for plan in plans for word in ("Python", "Arrow", "Pandas"))
+    assert out.select(F.col("doc_id")).count() == 10
+
+
+def test_frequent_lines_and_a_long_document(spark):
+    """A line that stands everywhere, a passage that many share, and one document of many lines."""
+    words = lambda n, k: " ".join(f"{n}w{k}x{j}" for j in range(12))
+    passage = "\n".join(words("p", k) for k in range(5))
+    docs = [(i, "\n".join(["all rights reserved", words(i, 0), passage, words(i, 1), "all rights reserved"])) for i in range(60)]
+    docs.append((60, "\n".join(f"line {k} of a long document" for k in range(4_000))))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert out[0] == docs[0][1] and out[60] == docs[60][1]
+    assert all(out[i] == "\n".join(["all rights reserved", words(i, 0), words(i, 1), "all rights reserved"]) for i in range(1, 60))
