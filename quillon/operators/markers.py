@@ -61,38 +61,42 @@ def pair_fits(data: Dataset, maxit: int = 50, maxstep: float = 5.0, maxhs: int =
     order = [r["cluster"] for r in clusters_of(data.cells).orderBy("ord").collect()]
     if len(order) < 2:
         raise ValueError("there are fewer than two clusters to compare")
-    sizes = {(r["cluster"], r["sample"]): r["count"] for r in data.cells.groupBy("cluster", "sample").count().collect()}
-    samples = {c: sorted(s for k, s in sizes if k == c) for c in order}
-    pairs = list(itertools.combinations(order, 2))
+    place = {c: i for i, c in enumerate(order)}
+    sizes = [(place[r["cluster"]], r["sample"], r["count"]) for r in data.cells.groupBy("cluster", "sample").count().collect()]
+    codes = {s: i for i, s in enumerate(sorted({s for _, s, _ in sizes}))}
+    # A group of cells for each cluster and sample.
+    groups = {(c, codes[s]): g for g, (c, s, _) in enumerate(sizes)}
+    of_cluster, of_sample = (np.array([k[i] for k in groups], int) for i in (0, 1))
+    n_cells = np.array([n for *_, n in sizes], float)
+    pairs = list(itertools.combinations(range(len(order)), 2))
+    batches = {(a, b): len({s for c, s in groups if c in (a, b)}) > 1 for a, b in pairs}
     counted = data.expr.join(data.cells.select("cell", "cluster", "sample"), "cell").groupBy("gene", "cluster", "sample", "value").agg(F.count("*").cast("double").alias("w"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        own = {k: (v["value"].to_numpy(), v["w"].to_numpy()) for k, v in rows.groupby(["cluster", "sample"], sort=True)}
+        group = np.array([groups[place[c], codes[s]] for c, s in zip(rows["cluster"], rows["sample"], strict=True)], int)
+        zeros = n_cells - np.bincount(group, rows["w"], len(n_cells))
+        group = np.concatenate([group, np.arange(len(n_cells))])
+        value, weight = np.concatenate([rows["value"], np.zeros(len(n_cells))]), np.concatenate([rows["w"], zeros])
+        there = np.flatnonzero(weight > 0)
+        there = there[np.lexsort((value[there], of_sample[group[there]], of_cluster[group[there]]))]
+        group, value, weight = group[there], value[there], weight[there]
+        cluster, sample = of_cluster[group], of_sample[group]
         found = []
         for a, b in pairs:
-            batch = len({*samples[a], *samples[b]}) > 1
-            parts = []
-            for cluster, outcome in ((a, 1.0), (b, 0.0)):
-                for sample in samples[cluster]:
-                    x, w = own.get((cluster, sample), (np.zeros(0), np.zeros(0)))
-                    zeros = sizes[cluster, sample] - w.sum()
-                    parts.append((sample, outcome, np.append(x, 0.0), np.append(w, zeros)))
-            if not any(np.any(x) for _, _, x, _ in parts):
+            own = (cluster == a) | (cluster == b)
+            x, w, y, batch = value[own], weight[own], (cluster[own] == a).astype(float), batches[a, b]
+            if not np.any(x):
                 continue
             if batch:
-                means = {}
-                for sample in {p[0] for p in parts}:
-                    these = [p for p in parts if p[0] == sample]
-                    means[sample] = sum(float(x @ w) for _, _, x, w in these) / sum(float(w.sum()) for *_, w in these)
-                parts = [(s, o, x - means[s], w) for s, o, x, w in parts]
-            x, w = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-            y = np.concatenate([np.full(len(p[2]), p[1]) for p in parts])
-            x, y, w = x[w > 0], y[w > 0], w[w > 0]
+                level = sample[own]
+                total = np.bincount(level, w, len(codes))
+                x = x - (np.bincount(level, w * x, len(codes)) / np.maximum(total, 1))[level]
             if np.abs(x).max(initial=0) <= (NOISE if batch else 0):
                 continue
             beta, p, converged = kernels.firth(x, y, w, maxit, maxstep, maxhs, damp, tolerance)
             if converged:
-                found += [(a, b, rows["gene"].iloc[0], beta, p), (b, a, rows["gene"].iloc[0], -beta, p)]
+                gene = rows["gene"].iloc[0]
+                found += [(order[a], order[b], gene, beta, p), (order[b], order[a], gene, -beta, p)]
         return pd.DataFrame(found, columns=["cluster", "other", "gene", "beta", "pvalue"])
 
     return counted.groupBy("gene").applyInPandas(fit, "cluster string, other string, gene string, beta double, pvalue double")
